@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pagewright.llm import chat, sharding
+from pagewright.llm import chat, sharding, simhash
 
 QUERIES = {
     "op3_chat_formatting": chat.op3_chat_formatting,
     "op5_sharding": sharding.op5_sharding,
+    "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
 }
 
 ORACLES: dict[str, str] = {}

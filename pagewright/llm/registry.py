@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pagewright.llm import chat, sharding, simhash
+from pagewright.llm import chat, pii, sharding, simhash
 
 QUERIES = {
+    "op2_pii": pii.op2_pii,
     "op3_chat_formatting": chat.op3_chat_formatting,
     "op5_sharding": sharding.op5_sharding,
     "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pagewright.llm import chat, pii, sharding, simhash
+from pagewright.llm import chat, decontaminate, packing, pii, sharding, simhash, wavelet
 
 QUERIES = {
     "op2_pii": pii.op2_pii,
     "op3_chat_formatting": chat.op3_chat_formatting,
+    "op4_decontamination": decontaminate.op4_decontamination,
     "op5_sharding": sharding.op5_sharding,
+    "op6_packing": packing.op6_packing,
     "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
+    "op9_token_files": wavelet.op9_token_files,
 }
 
 ORACLES: dict[str, str] = {}

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pagewright.llm import chat, decontaminate, packing, pii, sharding, simhash, wavelet
+from pagewright.llm import chat, decontaminate, packing, pii, quality, sharding, simhash, toxicity, wavelet
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
     "op2_pii": pii.op2_pii,
     "op3_chat_formatting": chat.op3_chat_formatting,
     "op4_decontamination": decontaminate.op4_decontamination,
@@ -12,6 +13,7 @@ QUERIES = {
     "op6_packing": packing.op6_packing,
     "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
     "op9_token_files": wavelet.op9_token_files,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {}

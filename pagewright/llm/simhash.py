@@ -200,5 +200,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(classes, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = MAX_DISTANCE) -> DataFrame:
+    """The columns of docs, with one row of each component: the least (id, text hash), nulls last.
+
+    Rows that are wholly equal in id and text are one. Only ids and hashes are compared; texts join the chosen keys.
+    """
+    key = F.xxhash64(F.col(id_col).cast("string"), text_or_empty(text_col))
+    keyed = docs.withColumn("__dup_key", key)
+    marked = near_duplicates(keyed.select(F.col("__dup_key"), text_col), "__dup_key", text_col, distance)
+    ids = keyed.select("__dup_key", F.col(id_col).cast("bigint").alias("__dup_id")).distinct()
+    best = (
+        marked.select(F.col("doc_id").alias("__dup_key"), "component_id").distinct().join(ids, "__dup_key")
+        .groupBy("component_id").agg(F.min(F.struct(F.col("__dup_id").isNull().alias("n"), F.col("__dup_id").alias("i"), F.col("__dup_key").alias("k")))["k"].alias("__dup_key"))
+    )
+    kept = keyed.join(best.select("__dup_key"), "__dup_key", "left_semi")
+    return kept.dropDuplicates(["__dup_key"]).select(*docs.columns)
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

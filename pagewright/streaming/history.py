@@ -1,0 +1,41 @@
+"""Bounded per-key history as a stream: each micro-batch is merged with what is kept, newest first."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pagewright.operators import state
+
+
+def merge_recent(kept: DataFrame | None, batch: DataFrame, key: str, order: list, keep: int = state.HISTORY) -> DataFrame:
+    both = batch if kept is None else kept.unionByName(batch)
+    return state.recent_history(both, key, order, keep).drop("recency")
+
+
+def replay_recent(spark: SparkSession, path: str, key: str = "user_id", keep: int = state.HISTORY) -> DataFrame:
+    """Runs the stream over the files of an event table until none is left, and returns what it then holds.
+
+    A batch's result is a table of its own, named by the batch, so a batch that is run again overwrites only itself.
+    """
+    root = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pagewright-")).rstrip("/") + f"/history-{uuid.uuid4().hex}"
+    schema = spark.read.parquet(path).schema
+    latest = {"path": None}
+
+    def merge(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        kept = session.read.parquet(latest["path"]) if latest["path"] else None
+        out = f"{root}/batch-{number}"
+        merge_recent(kept, batch, key, ["ts", "event_id"], keep).write.mode("overwrite").parquet(out)
+        latest["path"] = out
+
+    # a table may be one file or a folder of files
+    source = spark.readStream.schema(schema).parquet(path if not path.endswith(".parquet") else path + "*")
+    rows = source.select("event_id", key, F.col("event_type").alias("hash"), F.col("ts").cast("timestamp").alias("ts"))
+    run = rows.writeStream.foreachBatch(merge).option("checkpointLocation", f"{root}/progress").trigger(availableNow=True).start()
+    run.awaitTermination()
+    held = spark.read.parquet(latest["path"])
+    return state.recent_history(held, key, ["ts", "event_id"], keep).select("event_id", key, "recency")

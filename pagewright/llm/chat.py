@@ -166,6 +166,22 @@ def digest_chat(formatted: DataFrame, template: Template = Template()) -> DataFr
     return formatted.mapInPandas(run, DIGESTS)
 
 
+_HEADERS = {"system": "### System: ", "user": "### User: ", "assistant": "### Assistant: ", "tool": "### Tool: "}
+_LENGTHS = "CASE role " + " ".join(f"WHEN '{r}' THEN {len(h)}" for r, h in _HEADERS.items()) + " ELSE 0 END"
+_ROLES = "CASE role WHEN 'system' THEN 's' WHEN 'user' THEN 'u' WHEN 'assistant' THEN 'a' WHEN 'tool' THEN 't' ELSE 'x' END"
+
+#: DuckDB's answer to the query: escapes are counted by a regular expression, the machine is one over roles' initials.
+ORACLE = rf"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+  c AS (SELECT conv_id, count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+    coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '') AS learned,
+    sum({_LENGTHS} + length(regexp_replace(text, '(\\|### Assistant:|### Role <|### System:|### User:|### Tool:|</turn>|>:)', '\\\1', 'g')) + 8)::BIGINT AS formatted_chars,
+    string_agg({_ROLES}, '' ORDER BY turn, role, text) AS path FROM t GROUP BY conv_id)
+  SELECT conv_id, n_turns, turns_sha256, length(learned) AS loss_chars, sha256(learned) AS loss_sha256, formatted_chars,
+    regexp_full_match(path, 's?(ua(ta)*)*(u|ua(ta)*t)?') AS valid, regexp_full_match(path, 's?(ua(ta)*)+') AS complete FROM c"""
+
+
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     probe = r"\### Assistant: </turn> ok"

@@ -61,9 +61,6 @@ def literal(spark: SparkSession, sql: str) -> DataFrame:
     return spark.sql(f"SELECT * FROM {sql} x")
 
 
-URL, HTML = F.col("url"), F.col("html")
-
-
 def per_page(name: str, columns: dict, sql: dict, source=pages, sql_source: str = fx.PAGES) -> None:
     """A narrow query: page_id and derived columns."""
     picked = ", ".join(f"{v} AS {k}" for k, v in sql.items())
@@ -76,30 +73,30 @@ def per_url(name: str, columns: dict, sql: dict) -> None:
 
 # --- URLs ---
 
-per_url("u1_normalize_netloc", {"host": lambda: urls.normalize_netloc(urls.netloc(URL))}, {"host": d.plain(d.netloc("url"))})
-per_url("u2_same_domain", {"same": lambda: urls.same_domain(URL, F.lit("https://www.example.com/"))}, {"same": f"{d.plain(d.netloc('url'))} = 'example.com'"})
-per_url("u3_strip_query", {"bare": lambda: urls.strip_query(URL)}, {"bare": d.strip_query("url")})
+per_url("u1_normalize_netloc", {"host": lambda: urls.normalize_netloc(urls.netloc(F.col("url")))}, {"host": d.plain(d.netloc("url"))})
+per_url("u2_same_domain", {"same": lambda: urls.same_domain(F.col("url"), F.lit("https://www.example.com/"))}, {"same": f"{d.plain(d.netloc('url'))} = 'example.com'"})
+per_url("u3_strip_query", {"bare": lambda: urls.strip_query(F.col("url"))}, {"bare": d.strip_query("url")})
 _KEEP = r"regexp_extract(url, '[?&]page=([^&#]+)', 1)"
-per_url("u3_keep_query", {"kept": lambda: urls.strip_query(URL, ["page"])}, {"kept": f"{d.strip_query('url')} || CASE WHEN {_KEEP} = '' THEN '' ELSE '?page=' || {_KEEP} END"})
-per_url("u4_is_media", {"media": lambda: urls.is_media(URL)}, {"media": d.is_media("url")})
-per_url("u5_is_blocked", {"blocked": lambda: urls.is_blocked(URL), "off": lambda: urls.is_blocked(URL, F.lit("example.com"))}, {"blocked": d.is_blocked("url"), "off": d.is_blocked("url", "'example.com'")})
-per_url("u8_scheme_filter", {"followable": lambda: urls.is_followable(URL)}, {"followable": f"{d.scheme('url')} IN ('http', 'https')"})
+per_url("u3_keep_query", {"kept": lambda: urls.strip_query(F.col("url"), ["page"])}, {"kept": f"{d.strip_query('url')} || CASE WHEN {_KEEP} = '' THEN '' ELSE '?page=' || {_KEEP} END"})
+per_url("u4_is_media", {"media": lambda: urls.is_media(F.col("url"))}, {"media": d.is_media("url")})
+per_url("u5_is_blocked", {"blocked": lambda: urls.is_blocked(F.col("url")), "off": lambda: urls.is_blocked(F.col("url"), F.lit("example.com"))}, {"blocked": d.is_blocked("url"), "off": d.is_blocked("url", "'example.com'")})
+per_url("u8_scheme_filter", {"followable": lambda: urls.is_followable(F.col("url"))}, {"followable": f"{d.scheme('url')} IN ('http', 'https')"})
 _KIND = "CASE page_id % 4 WHEN 0 THEN 'image' WHEN 1 THEN 'xhr' WHEN 2 THEN 'document' ELSE 'fetch' END"
 per_url(
     "u9_resource_filter",
-    {"skipped": lambda: urls.is_skipped_resource(URL, F.expr(_KIND), F.lit("www.example.com"))},
+    {"skipped": lambda: urls.is_skipped_resource(F.col("url"), F.expr(_KIND), F.lit("www.example.com"))},
     {"skipped": f"({_KIND}) IN ('image', 'media', 'font', 'stylesheet') OR {d.is_media('url')} OR {d.is_blocked('url')} OR ({d.plain(d.netloc('url'))} <> 'example.com' AND ({_KIND}) IN ('xhr', 'fetch'))"},
 )
-per_url("u10_doc_key", {"doc_key": lambda: urls.doc_key(URL)}, {"doc_key": d.doc_key("url")})
-per_page("u11_canonical_url", {"canonical": lambda: content.canonical_url(HTML, URL)}, {"canonical": f"coalesce({d.first('html', content.CANONICAL)}, {d.first('html', content.OG_URL)}, url)"})
-per_page("u12_is_listing", {"listing": lambda: content.is_listing(HTML)}, {"listing": "(" + " OR ".join(d.has("html", content.listing_pattern(*c)) for c in fixed.LISTING_CLASSES) + ")"})
+per_url("u10_doc_key", {"doc_key": lambda: urls.doc_key(F.col("url"))}, {"doc_key": d.doc_key("url")})
+per_page("u11_canonical_url", {"canonical": lambda: content.canonical_url(F.col("html"), F.col("url"))}, {"canonical": f"coalesce({d.first('html', content.CANONICAL)}, {d.first('html', content.OG_URL)}, url)"})
+per_page("u12_is_listing", {"listing": lambda: content.is_listing(F.col("html"))}, {"listing": "(" + " OR ".join(d.has("html", content.listing_pattern(*c)) for c in fixed.LISTING_CLASSES) + ")"})
 
 _LINK = r"""<a\b[^>]*\bhref=["']([^"']*)"""
 _LINKS_SQL = f"(SELECT page_id, url, i AS pos, l[i] AS href FROM (SELECT page_id, url, l, unnest(generate_series(1, len(l))) AS i FROM (SELECT page_id, url, {d.every('html', _LINK)} AS l FROM {fx.PAGES} p)))"
 
 
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages(spark, sf_dir).select("page_id", "url", F.posexplode(urls.links(HTML)).alias("pos", "href")).withColumn("pos", F.col("pos") + 1)
+    return pages(spark, sf_dir).select("page_id", "url", F.posexplode(urls.links(F.col("html"))).alias("pos", "href")).withColumn("pos", F.col("pos") + 1)
 
 
 query("u13_links", f"SELECT page_id, pos, href FROM {_LINKS_SQL}")(lambda s, f: page_links(s, f).select("page_id", "pos", "href"))
@@ -108,20 +105,20 @@ query(
     f"""SELECT page_id, pos, CASE WHEN href = '' OR href LIKE '#%' OR href LIKE 'mailto:%' OR href LIKE 'tel:%' THEN NULL
       WHEN href LIKE '/%' THEN {d.scheme('url')} || '://' || {d.netloc('url')} || href ELSE href END AS resolved
       FROM {_LINKS_SQL} WHERE href LIKE '/%' OR href LIKE 'http%' OR href LIKE '#%' OR href = ''""",
-)(lambda s, f: page_links(s, f).filter("href LIKE '/%' OR href LIKE 'http%' OR href LIKE '#%' OR href = ''").select("page_id", "pos", urls.resolve(F.col("href"), URL).alias("resolved")))
+)(lambda s, f: page_links(s, f).filter("href LIKE '/%' OR href LIKE 'http%' OR href LIKE '#%' OR href = ''").select("page_id", "pos", urls.resolve(F.col("href"), F.col("url")).alias("resolved")))
 query("u7_resolve_href_to_root", f"SELECT page_id, pos, {d.scheme('url')} || '://' || {d.netloc('url')} || '/' || regexp_replace(href, '^/+', '') AS resolved FROM {_LINKS_SQL} WHERE href LIKE '/%' AND href NOT LIKE '//%'")(
-    lambda s, f: page_links(s, f).filter("href LIKE '/%' AND href NOT LIKE '//%'").select("page_id", "pos", urls.resolve(F.col("href"), URL, to_root=True).alias("resolved"))
+    lambda s, f: page_links(s, f).filter("href LIKE '/%' AND href NOT LIKE '//%'").select("page_id", "pos", urls.resolve(F.col("href"), F.col("url"), to_root=True).alias("resolved"))
 )
 
 # --- content ---
 
-per_page("t1_clean_content", {"cleaned": lambda: content.clean_content(HTML)}, {"cleaned": d.clean("html")})
-per_page("t2_remove_volatile", {"kept": lambda: content.remove_volatile(HTML)}, {"kept": d.volatile("html")})
-per_page("t3_canonical_content", {"canonical": lambda: content.canonical_content(HTML)}, {"canonical": d.canonical("html")})
+per_page("t1_clean_content", {"cleaned": lambda: content.clean_content(F.col("html"))}, {"cleaned": d.clean("html")})
+per_page("t2_remove_volatile", {"kept": lambda: content.remove_volatile(F.col("html"))}, {"kept": d.volatile("html")})
+per_page("t3_canonical_content", {"canonical": lambda: content.canonical_content(F.col("html"))}, {"canonical": d.canonical("html")})
 
 
 def _structured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pages(spark, sf_dir).select("page_id", content.structured_data(HTML).alias("m"))
+    found = pages(spark, sf_dir).select("page_id", content.structured_data(F.col("html")).alias("m"))
     return found.select("page_id", F.try_element_at("m", F.lit("json_ld_dateModified")).alias("date_modified"), F.size("m").alias("n"))
 
 
@@ -130,15 +127,15 @@ query("t4_structured_data", f"SELECT page_id, dm AS date_modified, CASE WHEN dm
 _H = lambda level: f"list_transform({d.every('html', rf'<h{level}[^>]*>(.*?)</h{level}>')}, lambda x: trim(x))"
 per_page(
     "t5_stable_elements",
-    {"title": lambda: content.title(HTML), "headings": lambda: F.array_join(content.headings(HTML), "|"), "canonical_url": lambda: content.first(HTML, content.CANONICAL), "og_url": lambda: content.first(HTML, content.OG_URL)},
+    {"title": lambda: content.title(F.col("html")), "headings": lambda: F.array_join(content.headings(F.col("html")), "|"), "canonical_url": lambda: content.first(F.col("html"), content.CANONICAL), "og_url": lambda: content.first(F.col("html"), content.OG_URL)},
     {"title": f"trim({d.first('html', content.TITLE)})", "headings": f"array_to_string(list_concat({_H(1)}, {_H(2)}), '|')", "canonical_url": d.first("html", content.CANONICAL), "og_url": d.first("html", content.OG_URL)},
 )
 per_page(
     "t6_listing_content",
     {
-        "links": lambda: F.array_join(F.transform(content.article_links(HTML), lambda x: F.concat(x["href"], F.lit(">"), x["text"])), "|"),
-        "item_ids": lambda: F.array_join(content.every(HTML, content.DATA_ID), "|"),
-        "page_number": lambda: content.first(HTML, content.PAGE_NUMBER),
+        "links": lambda: F.array_join(F.transform(content.article_links(F.col("html")), lambda x: F.concat(x["href"], F.lit(">"), x["text"])), "|"),
+        "item_ids": lambda: F.array_join(content.every(F.col("html"), content.DATA_ID), "|"),
+        "page_number": lambda: content.first(F.col("html"), content.PAGE_NUMBER),
     },
     {
         "links": f"array_to_string(list_transform(list_zip({d.every('html', content.ARTICLE_LINK, 1)}, {d.every('html', content.ARTICLE_LINK, 2)}), lambda x: x[1] || '>' || trim(x[2])), '|')",
@@ -146,20 +143,20 @@ per_page(
         "page_number": d.first("html", content.PAGE_NUMBER),
     },
 )
-per_page("t7_text_content", {"content": lambda: content.text_content(HTML)}, {"content": d.text_content("html")})
+per_page("t7_text_content", {"content": lambda: content.text_content(F.col("html"))}, {"content": d.text_content("html")})
 _T8 = (r"<[^>]+>", r"https?://\S+", r"\S+@\S+", r"\s+", r"\b\d+\b", r"[^\p{L}\p{N}_\s.,!?;:()'\"-]")
-per_page("t8_detection_text", {"detection": lambda: content.detection_text(HTML)}, {"detection": f"trim({d.fold('html', _T8, 'g', ' ')})"})
-query("t9_markdown")(lambda s, f: pages(s, f).select("page_id", markdown.to_markdown(HTML).alias("markdown")))
+per_page("t8_detection_text", {"detection": lambda: content.detection_text(F.col("html"))}, {"detection": f"trim({d.fold('html', _T8, 'g', ' ')})"})
+query("t9_markdown")(lambda s, f: pages(s, f).select("page_id", markdown.to_markdown(F.col("html")).alias("markdown")))
 _TITLE = d.first("html", content.TITLE)
 query("t10_page_data", f"SELECT page_id, '# ' || {_TITLE} || chr(10) || '**URL:** [' || url || '](' || url || ')' || chr(10) || '# a' || chr(10) || '### c' || chr(10) || chr(10) || '**Links:**' || chr(10) || '- [x](x)' || chr(10) || chr(10) || '---' || chr(10) AS markdown FROM {fx.PAGES} p")(
-    lambda s, f: pages(s, f).select("page_id", markdown.page_data(content.first(HTML, content.TITLE), URL, F.array(F.lit("a"), F.lit("")), F.array().cast("array<string>"), F.array(F.lit("c")), F.array().cast("array<string>"), F.array(F.lit("x"))).alias("markdown"))
+    lambda s, f: pages(s, f).select("page_id", markdown.page_data(content.first(F.col("html"), content.TITLE), F.col("url"), F.array(F.lit("a"), F.lit("")), F.array().cast("array<string>"), F.array(F.lit("c")), F.array().cast("array<string>"), F.array(F.lit("x"))).alias("markdown"))
 )
 
 
 def documents_of(spark: SparkSession, sf_dir: str, some: bool = False) -> DataFrame:
     """Extractive documents of pages: page_id, url, doc_key, prefix, text; with some, of every third page."""
     rows = pages(spark, sf_dir).filter("page_id % 3 = 0") if some else pages(spark, sf_dir)
-    return rows.select("page_id", "url", urls.doc_key(URL).alias("doc_key"), urls.domain_prefix(URL).alias("prefix"), faq.page_document(HTML, URL).alias("text"))
+    return rows.select("page_id", "url", urls.doc_key(F.col("url")).alias("doc_key"), urls.domain_prefix(F.col("url")).alias("prefix"), faq.page_document(F.col("html"), F.col("url")).alias("text"))
 
 
 _PARA = d.collapse(d.sub(f"coalesce({d.first('html', '<p>(.*?)</p>', 1, 'is')}, '')", "<[^>]+>", " "))
@@ -174,17 +171,17 @@ query("t11_markdown_header", f"SELECT page_id, question AS title, url AS header_
 
 @query("h1_page_fingerprint", f"SELECT page_id, {d.doc_key('url')} AS doc_key, sha256({d.clean('html')}) AS content_hash, {d.normalize_code('html_lang')} AS html_lang, ({d.normalize_code('html_lang')}) IN ({', '.join(map(d.q, fixed.RTL))}) AS is_rtl FROM (SELECT *, lower({d.first('html', language.HTML_LANG)}) AS html_lang FROM {fx.PAGES} p)")
 def _page_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    code = language.normalize_code(F.lower(content.first(HTML, language.HTML_LANG)))
-    return pages(spark, sf_dir).select("page_id", urls.doc_key(URL).alias("doc_key"), state.content_hash(HTML).alias("content_hash"), code.alias("html_lang"), language.is_rtl(code).alias("is_rtl"))
+    code = language.normalize_code(F.lower(content.first(F.col("html"), language.HTML_LANG)))
+    return pages(spark, sf_dir).select("page_id", urls.doc_key(F.col("url")).alias("doc_key"), state.content_hash(F.col("html")).alias("content_hash"), code.alias("html_lang"), language.is_rtl(code).alias("is_rtl"))
 
 
 _STRUCT = f"concat_ws(chr(1), {d.canonical('html')}, coalesce({_JSON_DATE}, ''), coalesce(trim({_TITLE}), ''), array_to_string(list_concat({_H(1)}, {_H(2)}), '|'), coalesce({d.first('html', content.CANONICAL)}, ''))"
 per_page(
     "h2_structured_key",
-    {"structured": lambda: F.sha2(F.concat_ws("\u0001", content.canonical_content(HTML), F.coalesce(F.try_element_at(content.structured_data(HTML), F.lit("json_ld_dateModified")), F.lit("")), F.coalesce(content.title(HTML), F.lit("")), F.array_join(content.headings(HTML), "|"), F.coalesce(content.first(HTML, content.CANONICAL), F.lit(""))), 256)},
+    {"structured": lambda: F.sha2(F.concat_ws("\u0001", content.canonical_content(F.col("html")), F.coalesce(F.try_element_at(content.structured_data(F.col("html")), F.lit("json_ld_dateModified")), F.lit("")), F.coalesce(content.title(F.col("html")), F.lit("")), F.array_join(content.headings(F.col("html")), "|"), F.coalesce(content.first(F.col("html"), content.CANONICAL), F.lit(""))), 256)},
     {"structured": f"sha256({_STRUCT})"},
 )
-query("h2_structured_hash")(lambda s, f: pages(s, f).select("page_id", state.structured_hash(HTML).alias("structured_hash")))
+query("h2_structured_hash")(lambda s, f: pages(s, f).select("page_id", state.structured_hash(F.col("html")).alias("structured_hash")))
 _FUZZY = f"""(WITH w AS (SELECT doc_id, l[i] AS word, i AS pos FROM (SELECT doc_id, l, unnest(generate_series(1, len(l))) AS i FROM (SELECT doc_id, {d.tokens('text')} AS l FROM documents))),
   c AS (SELECT doc_id, word, count(*) AS n, min(pos) AS place FROM w WHERE length(word) > 2 GROUP BY 1, 2),
   r AS (SELECT doc_id, word, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, place) AS r FROM c)
@@ -203,10 +200,10 @@ def _similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LM, _ETAG = "CASE WHEN page_id % 3 = 0 THEN 'Mon' END", "CASE WHEN page_id % 4 = 0 THEN '' WHEN page_id % 4 = 1 THEN 'e' || cast(page_id AS string) END"
 per_page(
     "h5_identifier",
-    {"identifier": lambda: state.identifier(F.expr(_LM), F.expr(_ETAG), state.content_hash(HTML), F.lit("s"), F.lit("f"))},
+    {"identifier": lambda: state.identifier(F.expr(_LM), F.expr(_ETAG), state.content_hash(F.col("html")), F.lit("s"), F.lit("f"))},
     {"identifier": f"concat_ws('|', 'last_modified_header:' || ({_LM}), CASE WHEN ({_ETAG}) <> '' THEN 'etag_header:' || ({_ETAG}) END, 'content_hash:' || sha256({d.clean('html')}), 'structured_hash:s', 'fuzzy_hash:f')"},
 )
-per_page("h6_cleaned_length", {"length": lambda: F.length(content.clean_content(HTML))}, {"length": f"length({d.clean('html')})"})
+per_page("h6_cleaned_length", {"length": lambda: F.length(content.clean_content(F.col("html")))}, {"length": f"length({d.clean('html')})"})
 
 # --- timestamps ---
 
@@ -227,12 +224,12 @@ for _name, _f, _sql in (
     ("e4_visible_time", timestamps.visible_time, _E4),
     ("e5_meta_time", timestamps.meta_time, _E5),
 ):
-    per_page(_name, {"ts": lambda f=_f: _UTC(f(HTML, as_of()))}, {"ts": d.utc_text(_sql)})
+    per_page(_name, {"ts": lambda f=_f: _UTC(f(F.col("html"), as_of()))}, {"ts": d.utc_text(_sql)})
 _E6 = "CASE page_id % 8 WHEN 0 THEN day + INTERVAL 10 HOUR WHEN 1 THEN day + INTERVAL 8 HOUR WHEN 2 THEN day WHEN 4 THEN ago END"
 query("e6_content_time", f"SELECT page_id, {d.utc_text(_E6)} AS ts FROM (SELECT page_id, CAST(date '2024-01-01' + CAST(page_id % 120 AS INT) AS TIMESTAMP) AS day, TIMESTAMP '{fx.AS_OF}' - to_days(CAST(page_id % 30 AS INT)) AS ago FROM pages)")(
-    lambda s, f: pages(s, f).select("page_id", _UTC(timestamps.content_time(HTML, as_of())).alias("ts"))
+    lambda s, f: pages(s, f).select("page_id", _UTC(timestamps.content_time(F.col("html"), as_of())).alias("ts"))
 )
-per_page("e7_page_date", {"ts": lambda: _UTC(timestamps.page_date(HTML))}, {"ts": d.utc_text(_E7)})
+per_page("e7_page_date", {"ts": lambda: _UTC(timestamps.page_date(F.col("html")))}, {"ts": d.utc_text(_E7)})
 
 
 # What the decorations put into each page is known, so these two oracles say it without the cascade's own patterns.
@@ -244,7 +241,7 @@ _SOURCES = "CASE page_id % 8 WHEN 0 THEN 'schema' WHEN 1 THEN 'og' WHEN 2 THEN '
 
 @query("e0_last_updated", f"SELECT page_id, {d.utc_text(_E0)} AS ts, {_SOURCES} AS source FROM pages")
 def _last_updated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pages(spark, sf_dir).select("page_id", timestamps.last_updated(HTML, as_of()).alias("u"))
+    found = pages(spark, sf_dir).select("page_id", timestamps.last_updated(F.col("html"), as_of()).alias("u"))
     return found.select("page_id", _UTC(F.col("u")["ts"]).alias("ts"), F.col("u")["source"].alias("source"))
 
 
@@ -263,7 +260,7 @@ def _feed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 query("src6_feed_times")(lambda s, f: _feed_texts(s, f).select("page_id", F.array_join(feeds.feed_times("xml"), "|").alias("times")))
 query("src5_feed_urls", f"SELECT page_id, array_to_string(list_transform(['/feed', '/rss.xml', '/atom.xml', '/feed.xml', '/index.xml'], lambda x: {d.scheme('url')} || '://' || {d.netloc('url')} || x), '|') AS feeds FROM {fx.PAGES} p")(
-    lambda s, f: pages(s, f).select("page_id", F.array_join(feeds.feed_urls(HTML, URL), "|").alias("feeds"))
+    lambda s, f: pages(s, f).select("page_id", F.array_join(feeds.feed_urls(F.col("html"), F.col("url")), "|").alias("feeds"))
 )
 
 
@@ -279,7 +276,7 @@ query("src1_pages", "SELECT page_id, url, length(html) AS n FROM pages")(lambda
 # --- language ---
 
 query("l3_normalize_code", f"SELECT id, {d.normalize_code('code')} AS lang FROM {fx.CODES_SQL} x")(lambda s, f: literal(s, fx.CODES_SQL).select("id", language.normalize_code(F.col("code")).alias("lang")))
-per_url("l2_url_hint", {"hint": lambda: language.url_hint(URL)}, {"hint": d.url_hint("url")})
+per_url("l2_url_hint", {"hint": lambda: language.url_hint(F.col("url"))}, {"hint": d.url_hint("url")})
 _CL = f"(list_filter(list_transform(regexp_split_to_array(lower({d.first('html', content.meta('http-equiv', 'content-language'))}), '[,;]'), lambda x: trim(x)), lambda x: x <> '' AND x <> 'x-default' AND ({d.normalize_code('x')}) <> 'und'))[1]"
 _HREF = lambda p: f"list_filter(list_transform({d.every('html', p)}, lambda x: lower(x)), lambda x: x <> 'x-default')"
 _HINTS = {
@@ -290,7 +287,7 @@ _HINTS = {
 
 @query("l1_metadata_hints", f"SELECT page_id, {', '.join(f'{v} AS {k}' for k, v in _HINTS.items())} FROM {fx.PAGES} p")
 def _hints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pages(spark, sf_dir).select("page_id", language.hints(HTML, URL).alias("h")).select("page_id", "h.*")
+    found = pages(spark, sf_dir).select("page_id", language.hints(F.col("html"), F.col("url")).alias("h")).select("page_id", "h.*")
     return found.withColumns({c: F.array_join(c, "|") for c in ("hreflang", "alternates")})
 
 
@@ -324,7 +321,7 @@ _BLEND = f"""WITH h AS (SELECT page_id, {', '.join(f'{v} AS {k}' for k, v in _HI
 )
 def _blend(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pages(spark, sf_dir).selectExpr("page_id", "url", f"{_RAW} AS html")
-    made = rows.select("page_id", language.blend(language.hints(HTML, URL), content.text_content(HTML), F.expr(_LANG), F.expr(_CONF), F.lit("given")).alias("b"))
+    made = rows.select("page_id", language.blend(language.hints(F.col("html"), F.col("url")), content.text_content(F.col("html")), F.expr(_LANG), F.expr(_CONF), F.lit("given")).alias("b"))
     return made.select("page_id", "b.lang", F.round("b.confidence", 6).alias("confidence"), "b.source", "b.script_hint")
 
 
@@ -383,7 +380,7 @@ _SECONDS = f"epoch(TIMESTAMP '{fx.AS_OF}' - {_CRAWLED})"
 )
 def _light_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = {c: F.col(c) for c in ("known", "last_modified_header", "etag_header", "crawl_timestamp")}
-    made = state.light_check(URL, old, F.col("content_type"), F.col("last_modified"), F.col("etag"), F.col("status"), F.col("feed_time"), as_of())
+    made = state.light_check(F.col("url"), old, F.col("content_type"), F.col("last_modified"), F.col("etag"), F.col("status"), F.col("feed_time"), as_of())
     return _states(spark, sf_dir).select("page_id", made.alias("d")).select("page_id", "d.needs_deep_check", "d.reason")
 
 
@@ -419,13 +416,13 @@ def _two_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", phase.alias("phase"), F.when(light, F.col("content_hash")).otherwise(F.col("new_content")).alias("content_hash"))
 
 
-per_url("c6_recrawl_hours", {"hours": lambda: state.recrawl_hours(URL)}, {"hours": f"coalesce(CASE {d.netloc('url')} {' '.join(f"WHEN '{k}' THEN {v}" for k, v in fixed.RECRAWL_HOURS.items())} END, 12)"})
+per_url("c6_recrawl_hours", {"hours": lambda: state.recrawl_hours(F.col("url"))}, {"hours": f"coalesce(CASE {d.netloc('url')} {' '.join(f"WHEN '{k}' THEN {v}" for k, v in fixed.RECRAWL_HOURS.items())} END, 12)"})
 _SNAP = lambda rows: f"(SELECT url, sha256({d.canonical('html')}) AS h FROM {rows} s)"
 
 
 @query("c7_snapshot_gate", f"SELECT coalesce(o.url, n.url) AS url, CASE WHEN o.url IS NULL THEN 'new' WHEN n.url IS NULL THEN 'missing' WHEN o.h = n.h THEN 'unchanged' ELSE 'changed' END AS change FROM {_SNAP(fx.PAGES)} o FULL JOIN {_SNAP(fx.V2)} n ON o.url = n.url")
 def _snapshot_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hashed = lambda rows: rows.select("url", F.sha2(content.canonical_content(HTML), 256).alias("structured_hash"))
+    hashed = lambda rows: rows.select("url", F.sha2(content.canonical_content(F.col("html")), 256).alias("structured_hash"))
     return state.classify(hashed(pages(spark, sf_dir)), hashed(second_snapshot(spark, sf_dir)))
 
 
@@ -526,7 +523,7 @@ query("s5_migrate_legacy", "SELECT url, '2024-01-0' || (page_id % 9 + 1) AS last
 )
 query("s6_identifier_time", "SELECT page_id, '2024-01-0' || (page_id % 9 + 1) AS last_updated FROM pages")(lambda s, f: raw_pages(s, f).select("page_id", F.try_element_at(state.parts_of(F.expr(_LEGACY)), F.lit("last_modified")).alias("last_updated")))
 _ESC = lambda c: f"replace(replace(replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')"
-per_page("s7_escape_html", {"escaped": lambda: content.escape_html(HTML)}, {"escaped": _ESC("html")})
+per_page("s7_escape_html", {"escaped": lambda: content.escape_html(F.col("html"))}, {"escaped": _ESC("html")})
 query("s8_render_faqs", f"SELECT conv_id, string_agg('<div class=\"faq\"><h3>' || {_ESC('question')} || '</h3><p>' || {_ESC('answer')} || '</p></div>', '' ORDER BY pos) AS html FROM {_CONV} c GROUP BY conv_id")(lambda s, f: faq.render(conversation_faqs(s, f), "conv_id"))
 query("s9_safe_xml")(lambda s, f: _feed_texts(s, f).select("page_id", F.size(feeds.feed_times("xml")).alias("n")))
 query("s10_reliability", f"SELECT n.page_id, CASE WHEN last_updated IS NOT NULL THEN 'high' ELSE 'unknown' END AS reliability FROM {_NEW_SQL} n LEFT JOIN {_OLD_SQL} o ON n.url = o.url")(
@@ -552,11 +549,11 @@ def _unseen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 query("j3_domain_urls", f"SELECT page_id FROM pages WHERE {d.netloc('url')} IN (SELECT {d.netloc('url')} FROM pages WHERE page_id % 50 = 0)")(
-    lambda s, f: raw_pages(s, f).select("page_id", urls.netloc(URL).alias("host")).join(raw_pages(s, f).filter("page_id % 50 = 0").select(urls.netloc(URL).alias("host")), "host", "left_semi").select("page_id")
+    lambda s, f: raw_pages(s, f).select("page_id", urls.netloc(F.col("url")).alias("host")).join(raw_pages(s, f).filter("page_id % 50 = 0").select(urls.netloc(F.col("url")).alias("host")), "host", "left_semi").select("page_id")
 )
 query("j4_find_document", f"SELECT page_id, doc_key, found_key FROM {_FOUND}")(lambda s, f: faq.find_document(raw_pages(s, f), documents_of(s, f, True)).select("page_id", "doc_key", "found_key"))
 query("j5_missing_documents", f"SELECT f.page_id, CASE WHEN f.doc_key IN (SELECT {d.doc_key('url')} FROM pages WHERE page_id % 2 = 0) THEN 'generate' ELSE 'recrawl' END AS action FROM (SELECT w.*, o.doc_key AS own FROM (SELECT page_id, url, {d.doc_key('url')} AS doc_key, {d.prefix('url')} AS prefix FROM pages) w LEFT JOIN (SELECT doc_key, prefix FROM {_DOCS_SQL} WHERE page_id % 40 = 0) o ON o.prefix = w.prefix) f WHERE own IS NULL AND NOT {d.is_media('f.url')} AND NOT {d.is_blocked('f.url')}")(
-    lambda s, f: faq.missing_documents(raw_pages(s, f), documents_of(s, f).filter("page_id % 40 = 0"), raw_pages(s, f).filter("page_id % 2 = 0").select(urls.doc_key(URL).alias("doc_key"))).select("page_id", "action")
+    lambda s, f: faq.missing_documents(raw_pages(s, f), documents_of(s, f).filter("page_id % 40 = 0"), raw_pages(s, f).filter("page_id % 2 = 0").select(urls.doc_key(F.col("url")).alias("doc_key"))).select("page_id", "action")
 )
 _SITEMAP = "(SELECT CASE page_id % 3 WHEN 0 THEN url WHEN 1 THEN url || '/' ELSE replace(url, 'www.', '') END AS url, '2024-01-' || lpad(cast(page_id % 28 + 1 AS string), 2, '0') AS lastmod FROM pages)"
 
@@ -588,15 +585,15 @@ query("snk3_site_report", f"SELECT p.host, p.pages, coalesce(q.faqs, 0) AS faqs
 query("a1_word_counts", f"SELECT word, count(*) AS n FROM (SELECT unnest({d.tokens('text')}) AS word FROM documents) GROUP BY word")(
     lambda s, f: table(s, f, "documents").select(F.explode(content.tokens(F.col("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 )
-query("a4_pages_per_domain", f"SELECT {d.netloc('url')} AS host, count(*) AS n FROM pages GROUP BY 1")(lambda s, f: raw_pages(s, f).groupBy(urls.netloc(URL).alias("host")).agg(F.count(F.lit(1)).alias("n")))
+query("a4_pages_per_domain", f"SELECT {d.netloc('url')} AS host, count(*) AS n FROM pages GROUP BY 1")(lambda s, f: raw_pages(s, f).groupBy(urls.netloc(F.col("url")).alias("host")).agg(F.count(F.lit(1)).alias("n")))
 
 # Links of the fixture resolve to no page; within a host, the page at rank r links to ranks 2r+1, 2r+2, 2r+3.
 _RANKED = f"(SELECT url, {d.netloc('url')} AS host, row_number() OVER (PARTITION BY {d.netloc('url')} ORDER BY page_id) - 1 AS r FROM (SELECT page_id, {d.strip_query('url')} AS url FROM pages) z)"
 
 
 def ranked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = raw_pages(spark, sf_dir).select("page_id", urls.strip_query(URL).alias("url"))
-    return rows.withColumn("host", urls.netloc(URL)).withColumn("r", (F.row_number().over(Window.partitionBy("host").orderBy("page_id")) - 1).cast("bigint"))
+    rows = raw_pages(spark, sf_dir).select("page_id", urls.strip_query(F.col("url")).alias("url"))
+    return rows.withColumn("host", urls.netloc(F.col("url"))).withColumn("r", (F.row_number().over(Window.partitionBy("host").orderBy("page_id")) - 1).cast("bigint"))
 
 
 @query(
@@ -616,7 +613,7 @@ def _bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.bfs(k.filter("r = 0").select(F.col("host").alias("site"), "url"), links).select("site", "url", "depth")
 
 
-per_page("x1_token_sets", {"both": lambda: F.size(F.array_intersect(content.tokens(HTML), content.tokens(URL))), "either": lambda: F.size(F.array_union(content.tokens(HTML), content.tokens(URL)))}, {"both": f"len(list_intersect(list_distinct({d.tokens('html')}), list_distinct({d.tokens('url')})))::INT", "either": f"len(list_distinct(list_concat({d.tokens('html')}, {d.tokens('url')})))::INT"})
+per_page("x1_token_sets", {"both": lambda: F.size(F.array_intersect(content.tokens(F.col("html")), content.tokens(F.col("url")))), "either": lambda: F.size(F.array_union(content.tokens(F.col("html")), content.tokens(F.col("url"))))}, {"both": f"len(list_intersect(list_distinct({d.tokens('html')}), list_distinct({d.tokens('url')})))::INT", "either": f"len(list_distinct(list_concat({d.tokens('html')}, {d.tokens('url')})))::INT"})
 
 
 @query("st1_history_stream", "SELECT event_id, user_id, recency FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS recency FROM events) WHERE recency <= 5")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import chain
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.functions import content, fixed, urls
@@ -126,46 +126,47 @@ def prompt(markdown: Column, instruction: Column, target: str | None = None) ->
 DETECTED_CHARS = 2000
 
 
-def trigrams(df: DataFrame, id_col: str, text: Column) -> DataFrame:
-    """(id, gram, n): counts of the trigrams of the text's first DETECTED_CHARS characters (a detection window)."""
-    short = F.lower(F.substring(text, 1, DETECTED_CHARS))
-    cut = df.select(F.col(id_col), short.alias("t")).filter(F.length("t") >= 3)
-    grams = cut.select(id_col, F.explode(F.transform(F.sequence(F.lit(1), F.length("t") - 2), lambda i: F.substr(F.col("t"), i, F.lit(3)))).alias("gram"))
-    return grams.groupBy(id_col, "gram").agg(F.count(F.lit(1)).alias("n"))
+def trigrams(df: DataFrame, keep: str, text: Column) -> DataFrame:
+    """(keep, gram), a row per trigram of the text's first DETECTED_CHARS characters (a detection window)."""
+    short = df.select(F.col(keep), F.lower(F.substring(text, 1, DETECTED_CHARS)).alias("t")).filter(F.length("t") >= 3)
+    # an empty match at every place looks three characters ahead: one pass over the text, unlike substrings by number
+    return short.select(keep, F.explode(F.regexp_extract_all("t", F.lit("(?s)(?=(.{3}))"), F.lit(1))).alias("gram"))
 
 
-def train_profiles(texts: DataFrame, id_col: str, lang_col: str, text_col: str, vocabulary: int = 20_000) -> DataFrame:
-    """(gram, lang, logp) of the commonest grams, each with every language; `vocabulary` bounds the rows."""
-    labelled = texts.select(F.col(id_col).alias("k"), F.col(lang_col).alias("lang"), F.col(text_col).alias("t")).filter("lang is not null and t is not null")
-    counted = trigrams(labelled.select("k", "t"), "k", F.col("t")).join(labelled.select("k", "lang"), "k").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    commonest = counted.groupBy("gram").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "gram").limit(vocabulary)
-    totals = counted.groupBy("lang").agg(F.sum("n").alias("total"))
-    languages = totals.orderBy("lang").collect()  # a row per language
-    each = F.array(*(F.struct(F.lit(r.lang).alias("lang"), F.lit(r.total).alias("total")) for r in languages)) if languages else F.expr("cast(array() as array<struct<lang:string,total:bigint>>)")
-    grid = commonest.select("gram", F.inline(each))
-    return grid.join(counted, ["gram", "lang"], "left").select("gram", "lang", F.log((F.coalesce("n", F.lit(0)) + 1) / (F.col("total") + vocabulary)).alias("logp"))
+def train_profiles(texts: DataFrame, lang_col: str, text_col: str, vocabulary: int = 20_000) -> DataFrame:
+    """(gram, langs, logps) of the commonest grams, with all languages in one order; `vocabulary` bounds the rows."""
+    labelled = texts.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("t")).filter("lang is not null and t is not null")
+    lengths = F.greatest(F.least(F.length("t"), F.lit(DETECTED_CHARS)) - 2, F.lit(0))
+    totals = labelled.groupBy("lang").agg(F.sum(lengths).alias("total")).orderBy("lang").collect()  # a row per language
+    counted = trigrams(labelled, "lang", F.col("t")).groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n"))
+    by_gram = counted.groupBy("gram").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("counts"))
+    commonest = by_gram.orderBy(F.desc("all"), "gram").limit(vocabulary)
+    seen = lambda lang: F.coalesce(F.try_element_at("counts", F.lit(lang)), F.lit(0))
+    logps = [F.log((seen(r.lang) + 1) / F.lit(float(r.total + vocabulary))) for r in totals]
+    return commonest.select("gram", F.array(*(F.lit(r.lang) for r in totals)).cast("array<string>").alias("langs"), F.array(*logps).cast("array<double>").alias("logps"))
 
 
 def detect(df: DataFrame, id_col: str, text: Column, profiles: DataFrame) -> DataFrame:
-    """(id, content_lang, content_confidence, content_source) of each row.
+    """(id, content_lang, content_confidence, content_source) of each row; ids are unique.
 
-    Under 100 characters nothing is tried. Confidence is the softmax of mean log-likelihoods times the root of the gram
-    count; a lead of under 0.15 costs a fifth of it. Profiles are bounded by their vocabulary, hence the broadcast.
+    Under 100 characters nothing is tried. Confidence is the softmax of log-likelihoods over the root of the gram count;
+    a lead of under 0.15 costs a fifth of it. Profiles are bounded by their vocabulary, hence the broadcast; the sums of a
+    text's grams are formed where it is read, so what is shuffled is about a row per text.
     """
-    cleaned = content.detection_text(text)
-    enough = df.select(id_col, F.when(F.length(F.trim(text)) >= 100, cleaned).alias("t"))
-    sums = trigrams(enough.filter("t is not null"), id_col, F.col("t")).join(F.broadcast(profiles), "gram").groupBy(id_col, "lang").agg(F.sum(F.col("n") * F.col("logp")).alias("ll"), F.sum("n").alias("m"))
-    scaled = sums.withColumn("s", F.col("ll") / F.sqrt("m"))
-    w = Window.partitionBy(id_col)
-    probs = scaled.withColumn("top", F.max("s").over(w)).withColumn("e", F.exp(F.col("s") - F.col("top"))).withColumn("p", F.col("e") / F.sum("e").over(w))
-    best = probs.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct((-F.col("p")).alias("q"), "lang"))).alias("r"))
-    lead = -F.col("r")[0]["q"]
-    second = F.coalesce(-F.try_element_at("r", F.lit(2))["q"], F.lit(0.0))
-    found = best.select(id_col, normalize_code(F.col("r")[0]["lang"]).alias("lang"), F.when(lead - second < 0.15, lead * 0.8).otherwise(lead).alias("confidence"))
-    joined = enough.join(found, id_col, "left")
-    return joined.select(
+    enough = df.select(id_col, F.when(F.length(F.trim(text)) >= 100, content.detection_text(text)).alias("t"))
+    first = profiles.select("langs").first()
+    langs = list(first.langs) if first else []
+    joined = trigrams(enough.filter("t is not null"), id_col, F.col("t")).join(F.broadcast(profiles.select("gram", *(F.col("logps")[k].alias(f"p{k}") for k in range(len(langs))))), "gram")
+    sums = joined.groupBy(id_col).agg(F.count(F.lit(1)).alias("m"), *(F.sum(f"p{k}").alias(f"s{k}") for k in range(len(langs))))
+    scaled = F.array(*(F.struct((F.col(f"s{k}") / F.sqrt("m")).alias("s"), F.lit(lang).alias("lang")) for k, lang in enumerate(langs))) if langs else F.expr("cast(array() as array<struct<s:double,lang:string>>)")
+    ranked = sums.select(id_col, F.reverse(F.array_sort(scaled)).alias("r"))
+    weights = F.transform("r", lambda x: F.exp(x["s"] - F.col("r")[0]["s"]))
+    found = ranked.select(id_col, F.try_element_at("r", F.lit(1))["lang"].alias("lang"), F.aggregate(weights, F.lit(0.0), lambda a, x: a + x).alias("z"), F.try_element_at(weights, F.lit(2)).alias("w2"))
+    lead, second = 1 / F.col("z"), F.coalesce(F.col("w2") / F.col("z"), F.lit(0.0))
+    told = found.select(id_col, normalize_code(F.col("lang")).alias("lang"), F.when(lead - second < 0.15, lead * 0.8).otherwise(lead).alias("confidence"))
+    return enough.select(id_col, F.col("t").isNull().alias("short")).join(told, id_col, "left").select(
         id_col,
         F.coalesce("lang", F.lit("und")).alias("content_lang"),
         F.coalesce("confidence", F.lit(0.0)).alias("content_confidence"),
-        F.when(F.col("t").isNull(), "insufficient_text").when(F.col("lang").isNull(), "detection_failed").otherwise("trigrams").alias("content_source"),
+        F.when(F.col("short"), "insufficient_text").when(F.col("lang").isNull(), "detection_failed").otherwise("trigrams").alias("content_source"),
     )

@@ -292,7 +292,7 @@ def _hints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language.train_profiles(table(spark, sf_dir, "documents").filter("doc_id % 2 = 0"), "doc_id", "lang", "text")
+    return language.train_profiles(table(spark, sf_dir, "documents").filter("doc_id % 2 = 0"), "lang", "text")
 
 
 @query("l4_content_detection")

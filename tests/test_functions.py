@@ -100,7 +100,7 @@ def test_url_hint(spark, url, want):
 
 def test_language_model_agrees_with_labels(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    profiles = language.train_profiles(docs.filter("doc_id % 2 = 0"), "doc_id", "lang", "text")
+    profiles = language.train_profiles(docs.filter("doc_id % 2 = 0"), "lang", "text")
     found = language.detect(docs.filter("doc_id % 2 = 1").select("doc_id", "text"), "doc_id", F.col("text"), profiles).join(docs, "doc_id").filter("content_source = 'trigrams'")
     total, right = found.count(), found.filter("content_lang = lang").count()
     assert total > 50 and right >= 0.95 * total

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -121,25 +124,57 @@ def prompt(markdown: Column, instruction: Column, target: str | None = None) ->
     return F.concat(F.lit("Summarise the page as 5-10 questions and answers.\n"), instruction, F.lit("\nFormat: markdown, each question a bold heading, its answer a paragraph below.\nMarkdown content:\n\n"), markdown)
 
 
-# --- content detection: character trigrams, add-one smoothed, as DataFrames ---
+# --- content detection: character trigrams, add-one smoothed, counted in numpy over Arrow batches ---
 
-DETECTED_CHARS = 2000
+#: Texts of a batch whose trigrams are held at once.
+_SLICE_CHARS = 1 << 21
 
 
-def trigrams(df: DataFrame, keep: str, text: Column) -> DataFrame:
-    """(keep, gram), a row per trigram of the text's first DETECTED_CHARS characters (a detection window)."""
-    short = df.select(F.col(keep), F.lower(F.substring(text, 1, DETECTED_CHARS)).alias("t")).filter(F.length("t") >= 3)
-    # an empty match at every place looks three characters ahead: one pass over the text, unlike substrings by number
-    return short.select(keep, F.explode(F.regexp_extract_all("t", F.lit("(?s)(?=(.{3}))"), F.lit(1))).alias("gram"))
+def _trigram_keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The trigrams of all texts in turn, each as one integer in the order of its characters, and where each text begins."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    counts = np.maximum(lengths - 2, 0)
+    starts = np.concatenate(([0], np.cumsum(counts)))
+    begins = np.cumsum(lengths) - lengths
+    at = np.repeat(begins - starts[:-1], counts) + np.arange(starts[-1])
+    return (codes[at] << 42) | (codes[at + 1] << 21) | codes[at + 2], starts
+
+
+def _slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about _SLICE_CHARS together; a longer text is a range of its own."""
+    begin, held = 0, 0
+    for i, text in enumerate(texts):
+        size = len(text or "")
+        if i > begin and held + size > _SLICE_CHARS:
+            yield begin, i
+            begin, held = i, 0
+        held += size
+    if begin < len(texts):
+        yield begin, len(texts)
 
 
 def train_profiles(texts: DataFrame, lang_col: str, text_col: str, vocabulary: int = 20_000) -> DataFrame:
-    """(gram, langs, logps) of the commonest grams, with all languages in one order; `vocabulary` bounds the rows."""
-    labelled = texts.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("t")).filter("lang is not null and t is not null")
-    lengths = F.greatest(F.least(F.length("t"), F.lit(DETECTED_CHARS)) - 2, F.lit(0))
-    totals = labelled.groupBy("lang").agg(F.sum(lengths).alias("total")).orderBy("lang").collect()  # a row per language
-    counted = trigrams(labelled, "lang", F.col("t")).groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n"))
+    """(gram, langs, logps) of the commonest grams, with all languages in one order; `vocabulary` bounds the rows.
+
+    Whole texts are counted, batch by batch, so what is shuffled is a row per batch, language and gram. Rows without a
+    language or text teach nothing.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs, held = batch.column("lang").to_pylist(), batch.column("t").to_pylist()
+            for begin, end in _slices(held):
+                for lang in sorted(set(langs[begin:end])):
+                    keys, _ = _trigram_keys([t for t, of in zip(held[begin:end], langs[begin:end], strict=True) if of == lang])
+                    grams, n = np.unique(keys, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
+
+    labelled = texts.select(F.col(lang_col).cast("string").alias("lang"), F.lower(F.col(text_col)).alias("t")).filter("lang is not null and t is not null")
+    counted = labelled.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     by_gram = counted.groupBy("gram").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("counts"))
+    lengths = F.greatest(F.length("t") - 2, F.lit(0))
+    totals = labelled.groupBy("lang").agg(F.sum(lengths).alias("total")).orderBy("lang").collect()  # a row per language
     commonest = by_gram.orderBy(F.desc("all"), "gram").limit(vocabulary)
     seen = lambda lang: F.coalesce(F.try_element_at("counts", F.lit(lang)), F.lit(0))
     logps = [F.log((seen(r.lang) + 1) / F.lit(float(r.total + vocabulary))) for r in totals]
@@ -147,26 +182,43 @@ def train_profiles(texts: DataFrame, lang_col: str, text_col: str, vocabulary: i
 
 
 def detect(df: DataFrame, id_col: str, text: Column, profiles: DataFrame) -> DataFrame:
-    """(id, content_lang, content_confidence, content_source) of each row; ids are unique.
+    """(id, content_lang, content_confidence, content_source) of each row, over its whole text; nothing is shuffled.
 
-    Under 100 characters nothing is tried. Confidence is the softmax of log-likelihoods over the root of the gram count;
-    a lead of under 0.15 costs a fifth of it. Profiles are bounded by their vocabulary, hence the broadcast; the sums of a
-    text's grams are formed where it is read, so what is shuffled is about a row per text.
+    Under 100 characters nothing is tried. Confidence is the softmax of log-likelihoods over the root of the count of
+    known grams, ties going to the lesser name; a lead of under 0.15 costs a fifth of it. Without a known gram, detection
+    has failed. Profiles are bounded by their vocabulary, so they are held by every task.
     """
-    enough = df.select(id_col, F.when(F.length(F.trim(text)) >= 100, content.detection_text(text)).alias("t"))
-    first = profiles.select("langs").first()
-    langs = list(first.langs) if first else []
-    joined = trigrams(enough.filter("t is not null"), id_col, F.col("t")).join(F.broadcast(profiles.select("gram", *(F.col("logps")[k].alias(f"p{k}") for k in range(len(langs))))), "gram")
-    sums = joined.groupBy(id_col).agg(F.count(F.lit(1)).alias("m"), *(F.sum(f"p{k}").alias(f"s{k}") for k in range(len(langs))))
-    scaled = F.array(*(F.struct((F.col(f"s{k}") / F.sqrt("m")).alias("s"), F.lit(lang).alias("lang")) for k, lang in enumerate(langs))) if langs else F.expr("cast(array() as array<struct<s:double,lang:string>>)")
-    ranked = sums.select(id_col, F.reverse(F.array_sort(scaled)).alias("r"))
-    weights = F.transform("r", lambda x: F.exp(x["s"] - F.col("r")[0]["s"]))
-    found = ranked.select(id_col, F.try_element_at("r", F.lit(1))["lang"].alias("lang"), F.aggregate(weights, F.lit(0.0), lambda a, x: a + x).alias("z"), F.try_element_at(weights, F.lit(2)).alias("w2"))
-    lead, second = 1 / F.col("z"), F.coalesce(F.col("w2") / F.col("z"), F.lit(0.0))
-    told = found.select(id_col, normalize_code(F.col("lang")).alias("lang"), F.when(lead - second < 0.15, lead * 0.8).otherwise(lead).alias("confidence"))
-    return enough.select(id_col, F.col("t").isNull().alias("short")).join(told, id_col, "left").select(
-        id_col,
-        F.coalesce("lang", F.lit("und")).alias("content_lang"),
-        F.coalesce("confidence", F.lit(0.0)).alias("content_confidence"),
-        F.when(F.col("short"), "insufficient_text").when(F.col("lang").isNull(), "detection_failed").otherwise("trigrams").alias("content_source"),
-    )
+    held = profiles.toArrow().sort_by("gram")
+    langs = held.column("langs")[0].as_py() if held.num_rows else []
+    grams = held.column("gram").to_numpy().astype(np.int64)
+    logps = np.array(held.column("logps").to_pylist(), dtype=float).reshape(len(grams), len(langs))
+
+    def told(texts: list[str | None]) -> Iterator[tuple[str | None, float, str]]:
+        keys, starts = _trigram_keys([t or "" for t in texts])
+        at = np.minimum(np.searchsorted(grams, keys), len(grams) - 1)
+        known = grams[at] == keys
+        for k, one in enumerate(texts):
+            found = at[starts[k] : starts[k + 1]][known[starts[k] : starts[k + 1]]]
+            if one is None:
+                yield None, 0.0, "insufficient_text"
+            elif not len(found):
+                yield None, 0.0, "detection_failed"
+            else:
+                scaled = logps[found].sum(axis=0) / np.sqrt(len(found))
+                order = np.argsort(-scaled, kind="stable")  # languages stand in the order of their names
+                weights = np.exp(scaled[order] - scaled[order[0]])
+                lead, second = 1 / weights.sum(), (weights[1] if len(weights) > 1 else 0.0) / weights.sum()
+                yield langs[order[0]], lead * 0.8 if lead - second < 0.15 else lead, "trigrams"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("t").to_pylist()
+            for begin, end in _slices(texts):
+                some = texts[begin:end]
+                rows = list(told(some)) if langs else [(None, 0.0, "insufficient_text" if t is None else "detection_failed") for t in some]
+                columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.float64(), pa.string()), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(id_col).slice(begin, end - begin), *columns], names=[id_col, "lang", "content_confidence", "content_source"])
+
+    enough = df.select(id_col, F.when(F.length(F.trim(text)) >= 100, F.lower(content.detection_text(text))).alias("t"))
+    found = enough.mapInArrow(run, f"`{id_col}` {dict(enough.dtypes)[id_col]}, lang string, content_confidence double, content_source string")
+    return found.select(id_col, F.when(F.col("lang").isNull(), "und").otherwise(normalize_code(F.col("lang"))).alias("content_lang"), "content_confidence", "content_source")

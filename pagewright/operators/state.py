@@ -73,6 +73,37 @@ def light_check(url: Column, old: dict[str, Column], content_type: Column, last_
     )
 
 
+def conditional_request(old: dict[str, Column]) -> Column:
+    """The headers of a conditional GET, as a map: those that the state knows."""
+    known = lambda c: F.when(c != "", c)
+    named = F.create_map(F.lit("If-Modified-Since"), known(old["last_modified_header"]), F.lit("If-None-Match"), known(old["etag_header"]))
+    return F.map_filter(named, lambda _, v: v.isNotNull())
+
+
+def not_modified(old: dict[str, Column], head_status: Column, last_modified: Column, etag: Column, get_status: Column) -> Column:
+    """Why no body need be read: 'head_304', 'headers_unchanged' (both equal), 'get_304'; null where it must be."""
+    same = lambda a, b: (a != "") & (a == b)
+    return (
+        F.when(head_status == 304, "head_304")
+        .when(same(old["last_modified_header"], last_modified) & same(old["etag_header"], etag), "headers_unchanged")
+        .when(get_status == 304, "get_304")
+    )
+
+
+def cached_lookup(requests: DataFrame, entries: DataFrame, key: str, at: str, seconds: int = 3600) -> DataFrame:
+    """requests with `hit`: whether the key's latest entry, by the time of the request, was under `seconds` old.
+
+    One window over the union; a request sees entries of its own time.
+    """
+    both = requests.withColumn("__set", F.lit(None).cast("timestamp")).withColumn("__kind", F.lit(1)).unionByName(
+        entries.select(key, at, F.col(at).alias("__set"), F.lit(0).alias("__kind")), allowMissingColumns=True
+    )
+    w = Window.partitionBy(key).orderBy(at, "__kind").rowsBetween(Window.unboundedPreceding, 0)
+    seen = both.withColumn("__set", F.last("__set", ignorenulls=True).over(w)).filter("__kind = 1")
+    age = F.unix_micros(at) - F.unix_micros("__set")
+    return seen.withColumn("hit", F.coalesce(age < seconds * 1_000_000, F.lit(False))).drop("__set", "__kind")
+
+
 def parts_of(identifier_: Column) -> Column:
     """An identifier's key:value parts; parts without a colon are dropped."""
     kept = F.filter(F.split(identifier_, r"\|"), lambda p: F.contains(p, F.lit(":")))
@@ -141,6 +172,13 @@ def flapping(history: DataFrame, key: str, order: list, hash_col: str) -> DataFr
     return history.withColumn("flapping", (F.count(F.lit(1)).over(last) == 3) & (times >= 2))
 
 
+def change_rate(history: DataFrame, key: str, order: list, hash_col: str) -> DataFrame:
+    """(key, visits, change_rate): the share of visits, after the first, whose hash differs from the one before."""
+    before = F.lag(hash_col).over(Window.partitionBy(key).orderBy(*order))
+    rated = history.withColumn("__changed", F.when(before != F.col(hash_col), 1)).groupBy(key).agg(F.count(F.lit(1)).alias("visits"), F.count("__changed").alias("n"))
+    return rated.select(key, "visits", F.when(F.col("visits") > 1, F.col("n") / (F.col("visits") - 1)).alias("change_rate"))
+
+
 def site_threshold(history: DataFrame, key: str, order: list, hash_col: str) -> DataFrame:
     """(key, change_rate, threshold) over each key's last five rows."""
     w = Window.partitionBy(key).orderBy(*order)

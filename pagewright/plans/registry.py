@@ -14,7 +14,7 @@ from pagewright.functions import content, fixed, language, timestamps, urls
 from pagewright.operators import faq, graph, state
 from pagewright.plans import dialect as d
 from pagewright.plans import fixtures as fx
-from pagewright.sources import feeds, markdown
+from pagewright.sources import feeds, markdown, stores
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -291,13 +291,23 @@ def _hints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({c: F.array_join(c, "|") for c in ("hreflang", "alternates")})
 
 
-def _profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language.train_profiles(table(spark, sf_dir, "documents").filter("doc_id % 2 = 0"), "lang", "text")
+_CHARS = lambda rows, key: f"(SELECT {key}, c || lead(c, 1) OVER w || lead(c, 2) OVER w AS gram FROM (SELECT {key}, l[i] AS c, i, id FROM (SELECT {key}, id, l, unnest(generate_series(1, len(l))) AS i FROM (SELECT {key}, id, regexp_extract_all(t, '(?s).') AS l FROM {rows}))) WINDOW w AS (PARTITION BY id ORDER BY i))"
+_DETECTED = f"""WITH g AS (SELECT lang, gram, count(*) AS n FROM {_CHARS("(SELECT lang, doc_id AS id, lower(text) AS t FROM documents WHERE lang IS NOT NULL AND text IS NOT NULL)", "lang")} WHERE gram IS NOT NULL GROUP BY 1, 2),
+  v AS (SELECT gram FROM g GROUP BY gram ORDER BY sum(n) DESC, gram LIMIT 20000),
+  z AS (SELECT lang, sum(n) + 20000 AS total FROM g GROUP BY lang),
+  p AS (SELECT v.gram, z.lang, ln((coalesce(g.n, 0) + 1) / z.total::DOUBLE) AS logp FROM v CROSS JOIN z LEFT JOIN g ON g.gram = v.gram AND g.lang = z.lang),
+  e AS (SELECT doc_id, doc_id AS id, CASE WHEN length(trim(text)) >= 100 THEN lower(trim({d.fold('text', _T8, 'g', ' ')})) END AS t FROM documents),
+  s AS (SELECT x.doc_id, p.lang, sum(p.logp) / sqrt(count(*)) AS s FROM {_CHARS("e", "doc_id")} x JOIN p ON p.gram = x.gram GROUP BY 1, 2),
+  r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, lang) AS r, max(s) OVER (PARTITION BY doc_id) AS top FROM s),
+  c AS (SELECT doc_id, max(CASE WHEN r = 1 THEN lang END) AS lang, 1 / sum(exp(s - top)) AS lead, coalesce(max(CASE WHEN r = 2 THEN exp(s - top) END), 0) / sum(exp(s - top)) AS second FROM r GROUP BY doc_id)
+  SELECT e.doc_id, coalesce(c.lang, 'und') AS content_lang, round(coalesce(CASE WHEN lead - second < 0.15 THEN lead * 0.8 ELSE lead END, 0), 6) AS content_confidence,
+    CASE WHEN t IS NULL THEN 'insufficient_text' WHEN c.lang IS NULL THEN 'detection_failed' ELSE 'trigrams' END AS content_source FROM e LEFT JOIN c ON c.doc_id = e.doc_id"""
 
 
-@query("l4_content_detection")
+@query("l4_content_detection", _DETECTED)
 def _detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = language.detect(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", F.col("text"), _profiles(spark, sf_dir))
+    rows = table(spark, sf_dir, "documents")
+    found = language.detect(rows.select("doc_id", "text"), "doc_id", F.col("text"), language.train_profiles(rows, "lang", "text"))
     return found.withColumn("content_confidence", F.round("content_confidence", 6))
 
 
@@ -638,3 +648,69 @@ def _stale(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw_pages(spark, sf_dir).select("page_id", "url").createOrReplaceTempView("pages")
     age = F.unix_timestamp(as_of()) - F.unix_timestamp(timestamps.comparable(F.col("crawl_timestamp")))
     return spark.sql(f"SELECT * FROM {_OLD_SQL} o").select("page_id", (F.floor(age / 86400) > 7).alias("stale"), (age < 86400).alias("fresh"))
+
+
+# --- raw bodies, stored files, conditional requests, the timed cache ---
+
+_TYPE = "CASE lang WHEN 'en' THEN 'text/plain' WHEN 'fr' THEN 'application/json; charset=utf-8' WHEN 'de' THEN 'application/pdf' END"
+_STAMP = "CASE WHEN lang = 'en' THEN '2024-02-29' WHEN lang = 'fr' THEN '2099-01-01' END"
+
+
+@query("src2_raw_bodies", f"SELECT x.doc_id, sha256(coalesce(text, '')) AS content_hash, CASE WHEN lang IN ('en', 'fr') THEN f.fuzzy_hash END AS fuzzy_hash, CASE WHEN lang = 'en' THEN '2024-02-29 00:00:00 UTC' END AS last_updated, CASE WHEN lang = 'en' THEN 'http_header' ELSE 'none' END AS timestamp_source FROM documents x JOIN {_FUZZY} f ON f.doc_id = x.doc_id")
+def _raw_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bodies = table(spark, sf_dir, "documents").select("doc_id", F.expr(_TYPE).alias("content_type"), F.coalesce("text", F.lit("")).cast("binary").alias("body"), F.expr(_STAMP).alias("last_modified"))
+    return stores.analyse_bodies(bodies, "doc_id", as_of())
+
+
+_HEADERS = {c: F.col for c in ("last_modified_header", "etag_header")}
+_REASON = "CASE WHEN status = 304 THEN 'head_304' WHEN last_modified_header = last_modified AND etag_header = etag THEN 'headers_unchanged' WHEN page_id % 23 = 0 THEN 'get_304' END"
+
+
+@query("src3_conditional_get", f"SELECT n.page_id, concat_ws('|', 'If-Modified-Since=' || last_modified_header, 'If-None-Match=' || etag_header) AS request FROM {_NEW_SQL} n LEFT JOIN {_OLD_SQL} o ON n.url = o.url")
+def _conditional_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sent = F.map_entries(state.conditional_request({c: F.col(c) for c in _HEADERS}))
+    return _states(spark, sf_dir).select("page_id", F.array_join(F.transform(sent, lambda e: F.concat(e["key"], F.lit("="), e["value"])), "|").alias("request"))
+
+
+@query("c5_not_modified", f"SELECT page_id, {_REASON} AS reason FROM (SELECT n.*, o.last_modified_header, o.etag_header FROM {_NEW_SQL} n LEFT JOIN {_OLD_SQL} o ON n.url = o.url)")
+def _not_modified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    answered = F.when(F.col("page_id") % 23 == 0, 304).otherwise(200)
+    reason = state.not_modified({c: F.col(c) for c in _HEADERS}, F.col("status"), F.col("last_modified"), F.col("etag"), answered)
+    return _states(spark, sf_dir).select("page_id", reason.alias("reason"))
+
+
+_STORED = """CASE page_id % 5 WHEN 0 THEN '{oops' WHEN 1 THEN '{"http://p/' || page_id || '": "last_modified:m|etag:a:b"}'
+  ELSE '{"http://p/' || page_id || '": {"content_hash": "c' || page_id || '", "is_rtl": true}, "http://q/' || page_id || '": {"language_confidence": 0.5, "other": 1}}' END"""
+query(
+    "src7_state_load",
+    """SELECT 'http://p/' || page_id AS url, CASE WHEN page_id % 5 > 1 THEN 'c' || page_id END AS content_hash, CASE WHEN page_id % 5 > 1 THEN true END AS is_rtl, NULL::DOUBLE AS confidence, CASE WHEN page_id % 5 = 1 THEN 'last_modified:m|etag:a:b' END AS legacy
+      FROM pages WHERE page_id % 5 > 0 UNION ALL SELECT 'http://q/' || page_id, NULL, NULL, 0.5, NULL FROM pages WHERE page_id % 5 > 1""",
+)(lambda s, f: stores.parse_state(raw_pages(s, f).select(F.expr(_STORED).alias("value"))).select("url", "content_hash", "is_rtl", F.col("language_confidence").alias("confidence"), "legacy"))
+query("src8_document_scan", f"SELECT doc_key, split_part(doc_key, '_', 1) AS prefix, text FROM {_DOCS_SQL}")(
+    lambda s, f: stores.named_documents(documents_of(s, f).select(F.concat(F.lit("file:/a.b/"), "doc_key", F.lit(".md")).alias("path"), F.col("text").alias("value")))
+)
+query(
+    "st4_timed_cache",
+    """SELECT event_id, coalesce(epoch_us(ts) - epoch_us(stored) < 3600000000, false) AS hit FROM (SELECT *, max(CASE WHEN event_type = 'signup' THEN ts END) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS stored FROM events) WHERE event_type <> 'signup'""",
+)(lambda s, f: _timed_cache(s, f))
+
+
+def _timed_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = history(spark, sf_dir)
+    return state.cached_lookup(rows.filter("hash <> 'signup'").select("event_id", "user_id", "ts"), rows.filter("hash = 'signup'"), "user_id", "ts").select("event_id", "hit")
+
+
+# --- the rest of the set operations and aggregates ---
+
+query("x2_ordered_distinct", f"SELECT p.page_id, coalesce(l.links, '') AS links FROM pages p LEFT JOIN (SELECT page_id, string_agg(href, '|' ORDER BY pos) AS links FROM (SELECT page_id, href, min(pos) AS pos FROM {_LINKS_SQL} GROUP BY 1, 2) GROUP BY page_id) l ON l.page_id = p.page_id")(
+    lambda s, f: pages(s, f).select("page_id", F.array_join(F.array_distinct(urls.links(F.col("html"))), "|").alias("links"))
+)
+query("a2_newest_and_first", "SELECT user_id, max(ts)::VARCHAR AS newest, arg_min(event_type, (ts, event_id)) FILTER (WHERE event_type <> 'error') AS first_valid FROM events GROUP BY user_id")(
+    lambda s, f: history(s, f).groupBy("user_id").agg(F.max("ts").cast("string").alias("newest"), F.min_by(F.col("hash"), F.when(F.col("hash") != "error", F.struct("ts", "event_id"))).alias("first_valid"))
+)
+query("a3_change_rate", "SELECT user_id, count(*) AS visits, round(CASE WHEN count(*) > 1 THEN (count(*) FILTER (WHERE before <> event_type))::DOUBLE / (count(*) - 1) END, 6) AS change_rate FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) GROUP BY user_id")(
+    lambda s, f: state.change_rate(history(s, f), "user_id", _ORDER, "hash").withColumn("change_rate", F.round("change_rate", 6))
+)
+query("a6_top_words", f"WITH w AS (SELECT doc_id, unnest({d.tokens('text')}) AS word FROM documents), c AS (SELECT doc_id, word, count(*) AS n FROM w WHERE length(word) > 2 GROUP BY 1, 2) SELECT doc_id, word, n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, word) AS r FROM c) WHERE r <= 50")(
+    lambda s, f: _top_words(s, f, 50)
+)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.functions import urls
+from pagewright.functions import timestamps, urls
+from pagewright.operators import state
 
 STATE_SCHEMA = (
     "identifier string, last_updated string, timestamp_source string, content_hash string, structured_hash string, "
@@ -16,18 +17,27 @@ STATE_SCHEMA = (
 
 def read_state(spark: SparkSession, path: str) -> DataFrame:
     """A JSON object of URL -> state as rows; unreadable text gives none. String values come as `legacy`."""
-    raw = spark.read.text(path, wholetext=True)
+    return parse_state(spark.read.text(path, wholetext=True))
+
+
+def parse_state(raw: DataFrame) -> DataFrame:
+    """The states that the JSON texts in `value` hold."""
     values = raw.select(F.explode(F.from_json("value", "map<string,string>")).alias("url", "v"))
     return values.select("url", F.from_json("v", STATE_SCHEMA).alias("s"), F.when(~F.col("v").startswith("{"), F.col("v")).alias("legacy")).select("url", "s.*", "legacy")
 
 
-def write_state(state: DataFrame, path: str) -> None:
-    state.write.mode("overwrite").parquet(path)
+def write_state(rows: DataFrame, path: str) -> None:
+    rows.write.mode("overwrite").parquet(path)
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """(doc_key, prefix, text) of Markdown files, by their names."""
-    files = spark.read.text(path, wholetext=True, pathGlobFilter="*.md").select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.md$", 1).alias("doc_key"), F.col("value").alias("text"))
+    return named_documents(spark.read.text(path, wholetext=True, pathGlobFilter="*.md").select(F.input_file_name().alias("path"), "value"))
+
+
+def named_documents(files: DataFrame) -> DataFrame:
+    """(doc_key, prefix, text) of (path, value) rows."""
+    files = files.select(F.regexp_extract("path", r"([^/]+)\.md$", 1).alias("doc_key"), F.col("value").alias("text"))
     return files.select("doc_key", F.regexp_extract("doc_key", "^([^_]*)", 1).alias("prefix"), "text")
 
 
@@ -39,3 +49,15 @@ def write_documents(docs: DataFrame, path: str) -> None:
 def read_bodies(spark: SparkSession, path: str) -> DataFrame:
     """(path, content_hash, length) of bodies that aren't HTML."""
     return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("content_hash"), "length")
+
+
+def analyse_bodies(bodies: DataFrame, id_col: str, as_of: Column) -> DataFrame:
+    """bodies(id, content_type, body, last_modified) as state: (id, content_hash, fuzzy_hash, last_updated, timestamp_source).
+
+    Only bodies of text, JSON or XML have a fuzzy hash; the time is the header's, where it is a reasonable one.
+    """
+    readable = F.coalesce(F.lower("content_type").rlike("^(text/|application/json|application/xml)"), F.lit(False))
+    fuzzy = state.fuzzy_hash(bodies.filter(readable).select(id_col, F.decode("body", "UTF-8").alias("text")), id_col, F.col("text"))
+    at = timestamps.normalize(F.col("last_modified"), as_of)
+    hashed = bodies.select(id_col, F.sha2("body", 256).alias("content_hash"), timestamps.utc_text(at).alias("last_updated"), F.when(at.isNotNull(), "http_header").otherwise("none").alias("timestamp_source"))
+    return hashed.join(fuzzy, id_col, "left").select(id_col, "content_hash", "fuzzy_hash", "last_updated", "timestamp_source")

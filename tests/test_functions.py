@@ -164,3 +164,37 @@ def test_directive(spark):
     assert one(spark, language.directive(F.lit("und"), F.lit(0.9), F.lit(None).cast("string"))) == language.ENGLISH_DIRECTIVE
     text = one(spark, language.directive(F.lit("he"), F.lit(0.875), F.lit(None).cast("string")))
     assert "right-to-left" in text and "87.5%" in text
+
+
+def test_detection_reads_whole_texts(spark):
+    known = spark.createDataFrame([("en", "the cat and the dog " * 9), ("fr", "le chat et le chien " * 9), (None, "x" * 200), ("en", None)], "lang string, t string")
+    profiles = language.train_profiles(known, "lang", "t")
+    late = "zq " * 3000 + "le chat et le chien " * 40
+    rows = spark.createDataFrame([(1, late), (2, "short"), (3, None), (4, "\U0001f600" * 150), (5, "the dog and the cat " * 8)], "id long, text string")
+    found = {r.id: (r.content_lang, r.content_source) for r in language.detect(rows, "id", F.col("text"), profiles).collect()}
+    assert found == {1: ("fr", "trigrams"), 2: ("und", "insufficient_text"), 3: ("und", "insufficient_text"), 4: ("und", "detection_failed"), 5: ("en", "trigrams")}
+    untaught = language.detect(rows, "id", F.col("text"), language.train_profiles(known.limit(0), "lang", "t"))
+    assert {r.content_source for r in untaught.collect()} == {"insufficient_text", "detection_failed"}
+
+
+def test_conditional_requests(spark):
+    old = {"last_modified_header": F.lit("Mon"), "etag_header": F.lit("")}
+    assert one(spark, state.conditional_request(old)) == {"If-Modified-Since": "Mon"}
+    both = {"last_modified_header": F.lit("Mon"), "etag_header": F.lit("e")}
+    assert one(spark, state.not_modified(both, F.lit(200), F.lit("Mon"), F.lit("e"), F.lit(200))) == "headers_unchanged"
+    assert one(spark, state.not_modified(old, F.lit(200), F.lit("Mon"), F.lit(""), F.lit(304))) == "get_304"
+    assert one(spark, state.not_modified(old, F.lit(200), F.lit("Tue"), F.lit("e"), F.lit(200))) is None
+
+
+def test_timed_cache(spark):
+    at = lambda t: f"timestamp '2024-01-01 {t}'"
+    sets = spark.sql(f"SELECT 'a' AS k, {at('10:00:00')} AS t")
+    asked = spark.sql(" UNION ALL ".join(f"SELECT {i} AS id, '{k}' AS k, {at(t)} AS t" for i, (k, t) in enumerate([("a", "09:59:59"), ("a", "10:00:00"), ("a", "10:59:59"), ("a", "11:00:00"), ("b", "10:30:00")])))
+    assert {r.id: r.hit for r in state.cached_lookup(asked, sets, "k", "t").collect()} == {0: False, 1: True, 2: True, 3: False, 4: False}
+
+
+def test_raw_bodies(spark):
+    rows = spark.createDataFrame([(1, "text/plain", b"word word other", "2024-02-29"), (2, "application/pdf", b"\xff\x00", "no"), (3, None, None, None)], "id long, content_type string, body binary, last_modified string")
+    found = {r.id: r for r in stores.analyse_bodies(rows, "id", F.lit("2024-06-01").cast("timestamp")).collect()}
+    assert found[1].fuzzy_hash and found[1].timestamp_source == "http_header" and found[1].content_hash != found[2].content_hash
+    assert found[2].fuzzy_hash is None and found[2].timestamp_source == "none" and found[3].content_hash is None

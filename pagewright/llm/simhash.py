@@ -183,6 +183,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+#: Parts that the fingerprints of one component are dealt to when they learn its least id.
+SALTS = 64
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = MAX_DISTANCE, words_per_shingle: int = SHINGLE_WORDS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id for each row of docs.
 
@@ -195,8 +199,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     distinct = durable(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(distinct, distance))
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.join(least, "root").select("fp", "component_id")
+    rooted = rooted.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int"))
+    # a component's least id goes to each of its salts that occurs, so that a giant component is many tasks' work
+    salts = rooted.groupBy("root", "salt").agg(F.min("least").alias("least"))
+    least = salts.groupBy("root").agg(F.min("least").alias("component_id"), F.collect_set("salt").alias("salts")).select("root", "component_id", F.explode("salts").alias("salt"))
+    classes = rooted.join(least, ["root", "salt"]).select("fp", "component_id")
     return marked.join(classes, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 

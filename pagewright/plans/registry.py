@@ -457,10 +457,10 @@ query(
         SELECT user_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM (
           SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r <= 5) GROUP BY user_id)""",
 )(lambda s, f: state.site_threshold(history(s, f), "user_id", _ORDER, "hash").withColumn("change_rate", F.round("change_rate", 6)))
-query("w4_top_words", f"WITH w AS (SELECT doc_id, unnest({d.tokens('text')}) AS word FROM documents), c AS (SELECT doc_id, word, count(*) AS n FROM w WHERE length(word) > 2 GROUP BY 1, 2) SELECT doc_id, word, n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, word) AS r FROM c) WHERE r <= 5")(lambda s, f: _top_words(s, f))
+query("w4_top_words", f"WITH w AS (SELECT doc_id, unnest({d.tokens('text')}) AS word FROM documents), c AS (SELECT doc_id, word, count(*) AS n FROM w WHERE length(word) > 2 GROUP BY 1, 2) SELECT doc_id, word, n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, word) AS r FROM c) WHERE r <= 50")(lambda s, f: _top_words(s, f))
 
 
-def _top_words(spark: SparkSession, sf_dir: str, top: int = 5) -> DataFrame:
+def _top_words(spark: SparkSession, sf_dir: str, top: int = 50) -> DataFrame:
     words = table(spark, sf_dir, "documents").select("doc_id", F.explode(content.tokens(F.col("text"))).alias("word")).filter(F.length("word") > 2)
     counts = words.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"))
     return counts.withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "word"))).filter(F.col("r") <= top).select("doc_id", "word", "n")
@@ -517,7 +517,7 @@ def conversation_faqs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _VALID = f"(SELECT conv_id, pos, trim(question) AS question, trim(answer) AS answer, row_number() OVER (PARTITION BY conv_id ORDER BY pos) AS n FROM {_CONV} c WHERE trim(question) <> '' AND trim(answer) <> '')"
-query("s3_valid_faqs", f"SELECT * FROM {_VALID} WHERE n <= 2")(lambda s, f: faq.valid_faqs(conversation_faqs(s, f), "conv_id", limit=2))
+query("s3_valid_faqs", f"SELECT * FROM {_VALID} WHERE n <= 10")(lambda s, f: faq.valid_faqs(conversation_faqs(s, f), "conv_id", limit=10))
 
 
 @query("s4_inline_faqs", f"SELECT conv_id, count(*) AS n, min(question) AS least FROM {_CONV} c GROUP BY conv_id")
@@ -711,6 +711,11 @@ query("a2_newest_and_first", "SELECT user_id, max(ts)::VARCHAR AS newest, arg_mi
 query("a3_change_rate", "SELECT user_id, count(*) AS visits, round(CASE WHEN count(*) > 1 THEN (count(*) FILTER (WHERE before <> event_type))::DOUBLE / (count(*) - 1) END, 6) AS change_rate FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) GROUP BY user_id")(
     lambda s, f: state.change_rate(history(s, f), "user_id", _ORDER, "hash").withColumn("change_rate", F.round("change_rate", 6))
 )
-query("a6_top_words", f"WITH w AS (SELECT doc_id, unnest({d.tokens('text')}) AS word FROM documents), c AS (SELECT doc_id, word, count(*) AS n FROM w WHERE length(word) > 2 GROUP BY 1, 2) SELECT doc_id, word, n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, word) AS r FROM c) WHERE r <= 50")(
-    lambda s, f: _top_words(s, f, 50)
-)
+
+
+@query("a6_top_words_by_language", f"WITH w AS (SELECT lang, unnest({d.tokens('text')}) AS word FROM documents), c AS (SELECT lang, word, count(*) AS n FROM w WHERE length(word) > 2 GROUP BY 1, 2) SELECT lang, word, n FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS r FROM c) WHERE r <= 50")
+def _top_words_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = table(spark, sf_dir, "documents").select("lang", F.explode(content.tokens(F.col("text"))).alias("word")).filter(F.length("word") > 2)
+    counts = words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    # the rank's limit is applied before the shuffle too, so a hot language moves 50 words a task
+    return counts.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).filter(F.col("r") <= 50).select("lang", "word", "n")

@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 
 from pagewright.llm.common import in_slices, text_or_empty
 
-#: 1: the token counts, 0: it is ignored. Any two of three consecutive faults leave one of these masks whole.
-MASKS = ("1101100101", "1011010011", "1111111")
-#: An overlap needs so many equal tokens, or the whole of a shorter item, at this share of its length.
+#: 1: the token counts, 0: it is ignored. Three faults among 16 tokens, four among 20 or five among 25 leave one of these
+#: masks whole, wherever they lie.
+MASKS = ("1101100101", "1011010011", "1111111", "10110111")
+#: An overlap needs so many equal tokens, or MIN_SHARE of a shorter item's, and this share of its span.
 MIN_MATCHED, MIN_SHARE = 13, 0.8
+#: Equal tokens that bear a fault at MIN_SHARE.
+FAULT = round(MIN_SHARE / (1 - MIN_SHARE))
 #: Items of fewer tokens than this count only as a whole document.
 MIN_ITEM = 5
 #: Tokens of the benchmark that are held at a time; a larger benchmark is searched in blocks of this size.
@@ -57,6 +60,11 @@ def seed_hashes(tokens: np.ndarray, mask: str) -> np.ndarray:
     return total ^ (total >> np.uint64(32))
 
 
+def needed(length: int) -> int:
+    """How many tokens of an item of this length have to be equal."""
+    return min(MIN_MATCHED, -(-FAULT * length // (FAULT + 1)))
+
+
 class Block:
     """A part of the benchmark: its tokens, and for each mask its sorted window hashes with their places."""
 
@@ -67,16 +75,24 @@ class Block:
         self.tokens = np.concatenate([r[1] for r in rows]) if rows else np.empty(0, np.uint64)
         self.lengths = [r[3] for r in rows]
         self.index = []
-        short = sorted({len(r[1]) for r in rows if MIN_ITEM <= len(r[1]) < max(map(len, MASKS))})
-        for mask in (*MASKS, *("1" * n for n in short)):
+        for mask in MASKS:
             found = seed_hashes(self.tokens, mask)
             starts = np.arange(len(found))
             row = np.searchsorted(self.starts, starts, side="right") - 1
             inside = starts + len(mask) <= self.starts[row + 1] if len(found) else np.empty(0, bool)
-            if set(mask) == {"1"} and mask not in MASKS:
-                inside &= (self.starts[row + 1] - self.starts[row]) == len(mask)
-            order = np.argsort(found[inside], kind="stable")
-            self.index.append((mask, found[inside][order], starts[inside][order]))
+            self._add(mask, found[inside], starts[inside])
+        # an item that needs fewer tokens is cut in one piece more than it may have faults: one piece is whole
+        pieces: dict[int, list[int]] = {}
+        for start, n in zip(self.starts.tolist(), self.lengths, strict=False):
+            if n >= MIN_ITEM and needed(n) < MIN_MATCHED:
+                count = n - needed(n) + 1
+                pieces.setdefault(n // count, []).extend(start + i * n // count for i in range(count))
+        for width, places in sorted(pieces.items()):
+            self._add("1" * width, seed_hashes(self.tokens, "1" * width)[places], np.array(places))
+
+    def _add(self, mask: str, keys: np.ndarray, places: np.ndarray) -> None:
+        order = np.argsort(keys, kind="stable")
+        self.index.append((mask, keys[order], places[order]))
 
     def search(self, doc: np.ndarray, hashes: list[np.ndarray]) -> list[tuple]:
         """Overlaps of one document: (item, tokens of it, its first token, equal tokens, tokens, share of the item)."""
@@ -95,12 +111,10 @@ class Block:
             item = self.tokens[self.starts[row] : self.starts[row + 1]]
             begin, end = max(0, shift), min(len(doc), shift + len(item))
             equal = doc[begin:end] == item[begin - shift : end - shift]
-            for a, b in overlaps(equal):
-                matched = int(equal[a:b].sum())
-                need = min(MIN_MATCHED, self.lengths[row])
-                if matched >= need and matched >= MIN_SHARE * (b - a):
-                    found = (matched, -(begin + a), b - a)
-                    best[row] = max(best.get(row, found), found)
+            a, b, matched = best_span(equal)
+            if matched and matched >= needed(self.lengths[row]):
+                found = (matched, -(begin + a), b - a)
+                best[row] = max(best.get(row, found), found)
         if len(doc) < MIN_ITEM:
             for row in (r for r, n in enumerate(self.lengths) if n == len(doc) and n):
                 if (self.tokens[self.starts[row] : self.starts[row + 1]] == doc).all():
@@ -108,22 +122,21 @@ class Block:
         return [(self.items[row], matched, -at, length, matched / self.lengths[row]) for row, (matched, at, length) in sorted(best.items())]
 
 
-def overlaps(equal: np.ndarray, reward: int = 1, fault: int = 3) -> list[tuple[int, int]]:
-    """The best-scoring stretches of a diagonal: equal tokens count +1, others -3, as long as the sum stays positive."""
-    out, score, start, top, top_at = [], 0, 0, 0, 0
-    for i, same in enumerate(equal.tolist()):
-        if score == 0:
-            start, top, top_at = i, 0, i
-        score += reward if same else -fault
-        if score > top:
-            top, top_at = score, i + 1
-        if score <= 0 or (same is False and top - score > 4 * fault):
-            if top:
-                out.append((start, top_at))
-            score = 0
-    if score > 0 and top:
-        out.append((start, top_at))
-    return out
+def best_span(equal: np.ndarray) -> tuple[int, int, int]:
+    """Begin, end and equal tokens of the span of a diagonal that has the most of them at MIN_SHARE or more.
+
+    Of several the shortest, then the first. With 1 for an equal token and -FAULT for another, those are the spans whose
+    sum isn't negative; for each begin the farthest such end is found in the running maximum from the right.
+    """
+    at = np.flatnonzero(equal)
+    if not len(at):
+        return 0, 0, 0
+    sums = np.concatenate(([0], np.cumsum(np.where(equal, 1, -FAULT))))
+    ahead = np.maximum.accumulate(sums[at + 1][::-1])[::-1]
+    last = np.searchsorted(-ahead, -sums[at], side="right") - 1
+    matched = last - np.arange(len(at)) + 1
+    k = np.lexsort((at, at[last] - at, -matched))[0]
+    return int(at[k]), int(at[last[k]]) + 1, int(matched[k])
 
 
 def benchmark_segments(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -156,8 +169,8 @@ LEAKS = "doc_id long, item_id string, matched int, at_token int, span int, share
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """A row per document and benchmark item that overlap: doc_id, item_id, matched, at_token, span, share.
 
-    An overlap lies on one diagonal, has at least MIN_MATCHED equal tokens (or all of a shorter item) and at least
-    MIN_SHARE equal ones of its span; substituted tokens inside it are borne. Its best stretch is reported.
+    An overlap lies on one diagonal, has at least MIN_MATCHED equal tokens (or MIN_SHARE of a shorter item's) and at least
+    MIN_SHARE equal ones of its span; substituted tokens inside it are borne. The span with most equal ones is reported.
     The benchmark is searched in blocks of bounded size: each is held by every task, and all documents stream past it,
     so neither side is shuffled and no hot passage gathers rows anywhere.
     Null texts are empty and overlap nothing; null ids are kept; repeated rows each give their own; empty tables give no

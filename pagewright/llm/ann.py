@@ -21,6 +21,10 @@ class Probing:
     probes: int = 1_200
     near: float = 1.1
     seed: int = 20
+    #: Norms in a band differ by this factor at most; each band is lifted by its own largest norm.
+    band: float = 1.1
+    #: A pair of part and block whose probes find less than this share of the first queries' neighbours looks at whole parts.
+    recall: float = 0.95
     #: Distinct vectors in a part of the index, and queries in a block; both bound what a task holds.
     part_rows: int = 32_768
     block_rows: int = 4_096
@@ -72,43 +76,67 @@ def _on_sphere(vectors: np.ndarray, largest: float) -> np.ndarray:
     return np.column_stack((small, lift))
 
 
-def search_part(vectors: np.ndarray, least_ids: np.ndarray, queries: np.ndarray, own: np.ndarray, largest: float, k: int, probing: Probing):
+class Bands:
+    """A part's classes by norm. Bands of more rows than there are probes are hashed, smaller ones are looked at whole."""
+
+    def __init__(self, vectors: np.ndarray, functions: tuple[np.ndarray, np.ndarray, np.ndarray], probing: Probing):
+        a, b, multipliers = functions
+        norms = np.linalg.norm(vectors, axis=1)
+        numbers = np.floor(np.log(norms.max() / norms) / math.log(probing.band)).astype(np.int64)
+        self.small, self.hashed = np.ones(len(vectors), bool), []
+        for number, rows in zip(*np.unique(numbers, return_counts=True), strict=True):
+            if rows <= probing.tables * probing.probes:
+                continue
+            members = np.flatnonzero(numbers == number)
+            self.small[members] = False
+            lifted = _on_sphere(vectors[members], norms[members].max())
+            for t in range(probing.tables):
+                keys = (np.floor((lifted @ a[:, t] + b[t]) / probing.width).astype(np.int64) * multipliers[t]).sum(axis=1)
+                order = np.argsort(keys, kind="stable")
+                self.hashed.append((t, keys[order], members[order]))
+
+    def met(self, probes: list[np.ndarray]) -> np.ndarray:
+        """Which classes a query looks at, from its probes in each table."""
+        met = self.small.copy()
+        for t, keys, members in self.hashed:
+            low = np.searchsorted(keys, probes[t], side="left")
+            size = np.searchsorted(keys, probes[t], side="right") - low
+            met[members[np.repeat(low - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]] = True
+        return met
+
+
+def search_part(vectors: np.ndarray, least_ids: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int, probing: Probing):
     """For each query the best k + 1 classes of a part among those its probes meet: (query, class, exact score).
 
     own: the class of the part that is the query's own vector, or -1. A query whose probes meet fewer than k + 1
-    classes looks at the whole part, so none gets too few.
+    classes looks at the whole part, so none gets too few. The first queries look at the whole part as well: if their
+    probes would have found less than probing.recall of their neighbours, so do all others.
     """
-    a, b, multipliers = _functions(vectors.shape[1] + 1, probing)
-    lifted = _on_sphere(vectors, largest)
-    order, sorted_keys = [], []
-    for t in range(probing.tables):
-        keys = (np.floor((lifted @ a[:, t] + b[t]) / probing.width).astype(np.int64) * multipliers[t]).sum(axis=1)
-        order.append(np.argsort(keys, kind="stable"))
-        sorted_keys.append(keys[order[-1]])
+    a, b, multipliers = functions = _functions(vectors.shape[1] + 1, probing)
+    bands = Bands(vectors, functions, probing)
+    whole, sampled, hits = not bands.hashed, 0, 0
     for begin in range(0, len(queries), 64):
         some = queries[begin : begin + 64]
-        unit = np.column_stack((some / np.linalg.norm(some, axis=1, keepdims=True), np.zeros(len(some))))
-        probes = [probe_keys((unit @ a[:, t] + b[t]) / probing.width, multipliers[t], probing) for t in range(probing.tables)]
+        if not whole:
+            unit = np.column_stack((some / np.linalg.norm(some, axis=1, keepdims=True), np.zeros(len(some))))
+            probes = [probe_keys((unit @ a[:, t] + b[t]) / probing.width, multipliers[t], probing) for t in range(probing.tables)]
         for i, query in enumerate(some):
-            met = np.zeros(len(vectors), bool)
-            for t in range(probing.tables):
-                low = np.searchsorted(sorted_keys[t], probes[t][i], side="left")
-                size = np.searchsorted(sorted_keys[t], probes[t][i], side="right") - low
-                total = int(size.sum())
-                met[order[t][np.repeat(low - (np.cumsum(size) - size), size) + np.arange(total)]] = True
-            if own[begin + i] >= 0:
+            met = None if whole else bands.met([p[i] for p in probes])
+            if met is not None and own[begin + i] >= 0:
                 met[own[begin + i]] = True
-            found = np.flatnonzero(met)
-            if len(found) <= k:
-                found = np.arange(len(vectors))
-            scores = vectors[found] @ query
+            found = np.arange(len(vectors)) if met is None or begin == 0 or met.sum() <= k else np.flatnonzero(met)
+            scores = (vectors if len(found) == len(vectors) else vectors[found]) @ query
             wanted = min(len(found), k + 1)
             floor = np.partition(scores, len(scores) - wanted)[len(scores) - wanted]
             near = np.flatnonzero(scores >= floor - 1e-12 * (1 + abs(floor)))
             exact = np.array([math.fsum(vectors[found[j]] * query) for j in near])
             best = np.lexsort((least_ids[found[near]], -exact))[:wanted]
+            if met is not None and begin == 0:
+                others = found[near[best]][found[near[best]] != own[i]]
+                sampled, hits = sampled + len(others), hits + int(met[others].sum())
             for j in best:
                 yield begin + i, int(found[near[j]]), float(exact[j])
+        whole = whole or hits < probing.recall * sampled
 
 
 def usable(vector: Column) -> Column:
@@ -126,7 +154,7 @@ def nearest(embeddings: DataFrame, queries: DataFrame, k: int = 20, id_col: str
     A query's own id is no candidate. Equal vectors form a class with its k + 1 least ids (no more can be among the
     nearest), so a vector that a third of the rows share is one row of the index. Classes are dealt evenly to parts and
     queries to blocks, each of bounded size, and every part meets every block once; within the pair, the multiprobe
-    tables choose the candidates. Vectors that aren't usable take no part; vectors meet those of equal length alone. Ties
+    tables of each band of norms choose the candidates. Vectors that aren't usable take no part; vectors meet those of equal length alone. Ties
     go to the lesser id. Null ids take no part. Repeated rows of one id count once; empty tables give no rows.
     """
     def rows(df: DataFrame) -> DataFrame:
@@ -137,11 +165,8 @@ def nearest(embeddings: DataFrame, queries: DataFrame, k: int = 20, id_col: str
     # dense_rank lets repeated rows of one id share a place, so they cannot push other ids out of the class
     classes = rows(embeddings).withColumn("place", F.dense_rank().over(among)).filter(F.col("place") <= k + 1)
     classes = classes.groupBy("v").agg(F.array_sort(F.collect_set("id")).alias("ids"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    held = rows(embeddings).agg(F.count(F.lit(1)), F.max(norm)).first()
-    asked = rows(queries).count()
-    parts, blocks = max(1, -(-held[0] // probing.part_rows)), max(1, -(-asked // probing.block_rows))
-    largest = float(held[1] or 1.0)
+    held, asked = rows(embeddings).count(), rows(queries).count()
+    parts, blocks = max(1, -(-held // probing.part_rows)), max(1, -(-asked // probing.block_rows))
 
     index = classes.select("v", "ids", F.pmod(F.xxhash64("v"), F.lit(parts)).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     asks = rows(queries).select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
@@ -156,7 +181,7 @@ def nearest(embeddings: DataFrame, queries: DataFrame, k: int = 20, id_col: str
             numbers = right.column("id").to_pylist()
             members = {m: c for c, some in enumerate(ids) for m in some}
             own = np.array([members.get(q, -1) for q in numbers])
-            for q, c, score in search_part(vectors, np.array([i[0] for i in ids]), asked_for, own, largest, k, probing):
+            for q, c, score in search_part(vectors, np.array([i[0] for i in ids]), asked_for, own, k, probing):
                 out.append((numbers[q], ids[c], score))
         columns = [list(x) for x in zip(*out, strict=True)] or [[]] * 3
         return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.list_(pa.int64())), pa.array(columns[2], pa.float64())], names=["query_id", "vec_ids", "score"])

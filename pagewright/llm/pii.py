@@ -10,12 +10,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROUNDS = 8
+#: Vectors of more parts are hashed as a digest of their half, so that the work grows with their length alone.
+LONG = 512
 #: Days that dates are permuted among: 1900-01-01 and the 250 x 292 - 1 days after it.
 DATE_RADICES, DATE_ORIGIN = (250, 292), "1900-01-01"
 
-_EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@(?:[A-Za-z0-9][A-Za-z0-9\-]{0,62}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9\-])"
+_EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9][A-Za-z0-9._%+\-]*+@(?:[A-Za-z0-9][A-Za-z0-9\-]{0,62}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9\-])"
 _SECRET_NAME = r"(?i:(?<![a-z])(?:password|passwd|pwd|token|secret|api_?key)\s{0,3}[=:]\s{0,3}[\"']?)"
-_SECRET = _SECRET_NAME + r"[A-Za-z0-9+/_\-]{8,512}"
+#: Up to white space or a quote; what follows the last letter or digit would stay as it is, and equal values shall be equal.
+_SECRET = _SECRET_NAME + r"[^\s\"'`]{7,}[\p{L}\p{N}]"
 _ACCESS_KEY = r"(?<![A-Za-z0-9])A[KS]IA[A-Z0-9]{16}(?![A-Za-z0-9])"
 _IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 _ISO_DATE = r"(?<![0-9\-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9\-])"
@@ -52,20 +55,23 @@ def feistel(values: Column, radices: Column, key: str, domain: str) -> Column:
     the place. A vector of one part has an empty other half and is shifted by a constant.
     """
 
-    def turn(state: Column, number: Column) -> Column:
+    def turn(state: Column, number: Column, radices: Column) -> Column:
         middle = F.floor((F.size(state) + 1) / 2).cast("int")
         first = number % 2 == 0
         left, right = F.slice(state, F.lit(1), middle), F.slice(state, middle + 1, F.size(state) - middle)
         other = F.concat_ws(",", F.when(first, right).otherwise(left))
         seed = F.concat_ws("|", F.lit(key), F.lit(domain), F.size(state), number, other)
+        seed = F.when(F.size(state) > LONG, F.sha2(seed, 256)).otherwise(seed)
 
-        def shifted(value: Column, place: Column) -> Column:
+        def shifted(value: Column, place: Column, seed: Column) -> Column:
             noise = F.conv(F.substring(F.sha2(F.concat_ws("|", seed, place), 256), 1, 12), 16, 10).cast("bigint")
             return F.pmod(value + noise, F.element_at(radices, place + 1))
 
-        return F.transform(state, lambda v, i: F.when((i < middle) == first, shifted(v, i)).otherwise(v))
+        # a variable of a lambda is computed once, an expression inside one for each part
+        return F.flatten(F.transform(F.array(seed), lambda s: F.transform(state, lambda v, i: F.when((i < middle) == first, shifted(v, i, s)).otherwise(v))))
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), values, turn)
+    turns = F.sequence(F.lit(0), F.lit(ROUNDS - 1))
+    return F.flatten(F.transform(F.array(radices), lambda r: F.aggregate(turns, values, lambda state, number: turn(state, number, r))))
 
 
 def _characters(text: Column) -> Column:

@@ -27,14 +27,20 @@ BLOCK_TOKENS = 1 << 20
 SEGMENT_TOKENS, SEGMENT_OVERLAP = 4096, 256
 
 _TOKEN = r"[^\p{L}\p{N}]+"
+#: Scripts that are written without spaces: each of their letters is a token.
+_UNSPACED = r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])"
 
 
 def hash_tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all texts' tokens in one array, and where each text begins in it (one more entry than texts).
 
-    Tokens are the stretches of letters and digits of the lowered text, so punctuation and spacing don't matter.
+    Tokens are the stretches of letters and digits of the lowered text, so punctuation and spacing don't matter; letters of
+    scripts without spaces are tokens of their own.
     """
-    lists = pc.split_pattern_regex(pc.utf8_lower(texts), pattern=_TOKEN)
+    lowered = pc.utf8_lower(texts)
+    if pc.any(pc.match_substring_regex(lowered, _UNSPACED)).as_py():
+        lowered = pc.replace_substring_regex(lowered, _UNSPACED, r" \1 ")
+    lists = pc.split_pattern_regex(lowered, pattern=_TOKEN)
     flat = lists.flatten().dictionary_encode()
     words = flat.dictionary.to_pylist()
     table = np.array([xxhash.xxh64_intdigest(w) for w in words] or [0], dtype=np.uint64)

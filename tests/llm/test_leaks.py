@@ -56,3 +56,13 @@ def test_leaks_with_early_and_late_faults_and_of_short_items(spark):
     want = {(i, str(j)) for i, d in enumerate(docs) for j, t in enumerate(items) if set(d) & set(t) and plain_leak(d, t)}
     assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(a, b).collect()} == want
     assert {r.doc_id for r in decontaminate.decontaminate(a, b).collect()} == set(range(len(docs))) - {d for d, _ in want}
+
+
+def test_scripts_without_spaces_are_cut_into_letters(spark):
+    item = "机器学习模型在基准测试中的表现取决于训练数据"
+    texts = [f"前面的话{item}后面的话", f"完全不同{item[:10]}其他内容在这里", "ภาษาไทยไม่มีช่องว่างระหว่างคำ และ more"]
+    a = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    b = spark.createDataFrame([("zh", item), ("th", "ไทยไม่มีช่องว่างระหว่าง")], "item_id string, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(a, b).collect()} == {(0, "zh"), (2, "th")}
+    tokens, starts = decontaminate.hash_tokens(pa.array(["plain words 12", "混合 mixed 文"]))
+    assert np.diff(starts).tolist() == [3, 4] and len(tokens) == 7

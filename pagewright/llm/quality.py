@@ -93,18 +93,19 @@ def id_remainder(doc_id: Column, modulus: int) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, rows: int) -> DataFrame:
     """(text, label) of at most `rows` labelled documents that aren't held out, chosen by a hash of the id.
 
-    Null ids and labels teach nothing. An id with several labels has the label of the greater part of them. The sample
-    is cut before texts are read; it has a bounded size, so it is broadcast to the documents.
+    Null ids and labels teach nothing. An id with several labels has the label of the greater part of them, one with
+    several texts has the least of them, so there are at most `rows` rows and they are always the same. The sample is cut
+    before texts are read; it has a bounded size, so it is broadcast to the documents.
     """
     known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(label).cast("double").alias("label")).dropna()
     known = known.filter(id_remainder(F.col("doc_id"), modulus) != held_out).groupBy("doc_id").agg((F.avg("label") >= 0.5).cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty("text").alias("text"))
-    return texts.join(F.broadcast(chosen), "doc_id").select("label", "text")
+    return texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("label", "text")
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 4, held_out: int = 2, rows: int = SAMPLE_ROWS) -> boosting.Forest:
-    sample = with_statistics(labelled_sample(docs, labels, label, modulus, held_out, rows), "label").limit(rows)
+    sample = with_statistics(labelled_sample(docs, labels, label, modulus, held_out, rows), "label")
     found = sample.toArrow()
     order = np.lexsort(np.array(found.column("features").to_pylist(), dtype=float).reshape(-1, len(FEATURES)).T) if found.num_rows else np.empty(0, int)
     features = np.array(found.column("features").to_pylist(), dtype=float).reshape(-1, len(FEATURES))[order]

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -18,20 +19,26 @@ from pagewright.llm.quality import id_remainder, labelled_sample
 
 #: Labelled rows that lexicon and weights are learned on, and candidate terms that are looked at.
 SAMPLE_ROWS, CANDIDATES = 20_000, 20_000
-#: A term must stand after so many different words in toxic texts, and so rarely be in others.
-LEAST_CONTEXTS, MOST_CLEAN = 4, 0.05
+#: A term must stand after so many different words in toxic texts, and a stem go on in so many ways.
+LEAST_CONTEXTS, LEAST_SUFFIXES = 4, 4
+#: The words before it must be this share of its texts, or so many: in a group of copies they are the same again and again.
+FRESH_SHARE, MANY_CONTEXTS = 0.5, 40
 STEM_LENGTHS = range(4, 9)
-LEAST_SUFFIXES = 4
-#: Chance, over all candidates, of a term that stands in toxic texts alone by luck.
+#: A term's texts must be toxic by this factor more often than others.
+LEAST_RATIO = 4.0
+#: Chance, over all candidates, of a term that stands in toxic texts so often by luck.
 LUCK = 0.05
+#: What a threat's verb weighs before labels speak, where no insult has been learned, and the texts that this counts as.
+PRIOR_WEIGHT, PRIOR_TEXTS = 4.0, 10
 
 # Classes that the lexical transducer gives to words.
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, END = range(7)
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, END, INTENT = range(8)
 # The closed word classes of the four languages.
-TARGETS = "you your yours yourself he she they him her them tu te toi vous ton ta votre du dich dir ihr euch dein ihre usted ustedes tú tus vosotros"
-NEGATIONS = "not no never nobody isn't aren't wasn't don't doesn't ne pas jamais aucun nicht kein keine nie niemals ni nunca jamás"
+TARGETS = "you your yours yourself u ur he she they him her them tu te toi vous ton ta votre du dich dir ihr euch dein ihre usted ustedes tú tus vosotros"
+NEGATIONS = "not no never nobody isn't aren't wasn't don't doesn't won't ne pas jamais aucun nicht kein keine nie niemals ni nunca jamás"
 REPORTS = "said says say wrote writes claimed quoted called quote dit disait écrit sagte sagt schrieb dijo dice escribió"
 THREATS = "kill murder hurt destroy stab shoot beat strangle tuer frapper töten schlagen matar golpear"
+INTENTS = "will i'll we'll they'll gonna going shall must should want vais va allons veux werde werden wird voy vamos quiero"
 
 
 class Transducer:
@@ -60,94 +67,151 @@ class Transducer:
 
 
 #: Marks that the grammar's parts put on a matched word, as bits above the class.
-NEGATED, REPORTED, AIMED = 8, 16, 32
-_SYMBOLS = 64
+NEGATED, REPORTED, AIMED, INTENDED = 8, 16, 32, 64
+_SYMBOLS = 128
+#: How many words a negation reaches; report, target and intent reach through their clause.
 _WINDOW = 3
 
 
-def _grammar() -> Transducer:
-    """Negation, then reported speech, then target; each rewrites the matched words within its reach, a clause at most."""
+def _negation(state: int, symbol: int) -> tuple[int, int]:
+    kind = symbol & 7
+    if kind in (END, NEGATION):
+        return _WINDOW * (kind == NEGATION), symbol
+    return max(0, state - 1), symbol | NEGATED if state and kind in (INSULT, THREAT) else symbol
 
-    def negation(state: int, symbol: int) -> tuple[int, int]:
-        kind = symbol & 7
-        if kind == END:
-            return 0, symbol
-        if kind == NEGATION:
-            return _WINDOW, symbol
-        return max(0, state - 1), symbol | NEGATED if state and kind in (INSULT, THREAT) else symbol
 
-    def reported(state: int, symbol: int) -> tuple[int, int]:
-        kind = symbol & 7
-        if kind == END:
-            return 0, symbol
-        return 1 if kind == REPORT else state, symbol | REPORTED if state and kind in (INSULT, THREAT) else symbol
+def _mark_after(wanted: int, mark: int):
+    """The rule that marks the matches of a clause that stand after a word of a class, in reading order."""
 
-    def aimed(state: int, symbol: int) -> tuple[int, int]:
+    def rule(state: int, symbol: int) -> tuple[int, int]:
         kind = symbol & 7
         if kind == END:
             return 0, symbol
-        return 1 if kind == TARGET else state, symbol | AIMED if state and kind in (INSULT, THREAT) else symbol
+        return int(state or kind == wanted), symbol | mark if state and kind in (INSULT, THREAT) else symbol
 
-    negate = Transducer.rewriting(_WINDOW + 1, _SYMBOLS, negation)
-    report = Transducer.rewriting(2, _SYMBOLS, reported)
-    aim = Transducer.rewriting(2, _SYMBOLS, aimed)
-    return negate.then(report).then(aim)
+    return Transducer.rewriting(2, _SYMBOLS, rule)
 
 
-GRAMMAR = _grammar()
-_CLOSED = {w: k for k, words in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS), (THREAT, THREATS)) for w in words.split()}
-_PIECES = re.compile(r"[^\W_]+(?:['’][^\W_]+)?|[.!?;:\n]")
+#: From left to right: negation, then intent, then what stands before a match as report or target.
+FORWARD = (
+    Transducer.rewriting(_WINDOW + 1, _SYMBOLS, _negation).then(_mark_after(INTENT, INTENDED)).then(_mark_after(REPORT, REPORTED)).then(_mark_after(TARGET, AIMED))
+)
+#: From right to left over what FORWARD wrote: report and target may follow as well.
+BACKWARD = _mark_after(REPORT, REPORTED).then(_mark_after(TARGET, AIMED))
+
+#: Weight of each path: negated and reported ones hardly count, whatever else they are; a threat needs intent or a target.
+PATHS = {"negated": 0.1, "reported": 0.1, "plain": 1.0, "aimed": 1.5, "threat": 0.1, "half_threat": 0.3, "aimed_threat": 2.0}
+
+
+def path_of(symbol: int) -> str:
+    """The path of PATHS by which a marked match was reached."""
+    if symbol & NEGATED:
+        return "negated"
+    if symbol & REPORTED:
+        return "reported"
+    if symbol & 7 == INSULT:
+        return "aimed" if symbol & AIMED else "plain"
+    return ("threat", "half_threat", "aimed_threat")[bool(symbol & AIMED) + bool(symbol & INTENDED)]
+
+
+_WEIGHT_OF = [PATHS[path_of(symbol)] if symbol & 7 in (INSULT, THREAT) else 0.0 for symbol in range(_SYMBOLS)]
+_CLOSED = {w: k for k, words in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS), (THREAT, THREATS), (INTENT, INTENTS)) for w in words.split()}
+_PIECES = re.compile(r"[^\W_]+(?:['’][^\W_]+)?|[.!?;\n]")
 _WORD_SPLIT = r"[^\p{L}\p{N}'’]+"
 
 
 @dataclass
 class Lexicon:
-    """The lexical transducer: whole words and stems (a stem is a path after which any letters follow), with weights."""
+    """The lexical transducer: whole words, stems (paths after which any letters follow) and threats' verbs, with weights.
+
+    The longest path that a word ends on, or passes, gives its weight.
+    """
 
     words: dict[str, float]
     stems: dict[str, float]
+    threats: dict[str, float] = field(default_factory=lambda: dict.fromkeys(THREATS.split(), PRIOR_WEIGHT))
 
     def __post_init__(self):
-        self.lengths = sorted({len(s) for s in self.stems})
+        self.lengths = sorted({len(s) for s in self.stems}, reverse=True)
 
     def weight(self, word: str) -> float:
         if word in self.words:
             return self.words[word]
-        return max((self.stems.get(word[:n], 0.0) for n in self.lengths if len(word) >= n), default=0.0)
+        return next((self.stems[word[:n]] for n in self.lengths if word[:n] in self.stems and len(word) >= n), 0.0)
 
     def read(self, word: str) -> tuple[int, float]:
         if w := self.weight(word):
             return INSULT, w
         kind = _CLOSED.get(word, OTHER)
-        return kind, 1.0 if kind == THREAT else 0.0
-
-
-FEATURES = ("plain", "aimed", "negated", "reported", "threat", "aimed_threat", "share", "strongest")
-
-
-def clause_features(text: str, lexicon: Lexicon) -> np.ndarray:
-    """What the grammar finds in a text: sums of weights by the path that matched, damped; zeros where nothing does."""
-    state, sums, strongest, words = 0, np.zeros(6), 0.0, 0
+        return kind, self.threats[word] if kind == THREAT else 0.0
+
+
+def marked_clause(symbols: list[int]) -> list[int]:
+    """The symbols of one clause after both transducers."""
+    state, out = 0, []
+    for symbol in symbols:
+        state, written = FORWARD.move[state][symbol]
+        out.append(written)
+    state = 0
+    for i in range(len(out) - 1, -1, -1):
+        state, out[i] = BACKWARD.move[state][out[i]]
+    return out
+
+
+def clauses(text: str, lexicon: Lexicon) -> Iterator[tuple[list[int], list[float]]]:
+    """Symbols and weights of the words of each clause that holds a match."""
+    symbols: list[int] = []
+    weights: list[float] = []
+    hit = False
     for m in _PIECES.finditer(text.lower()):
         piece = m.group().replace("’", "'")
-        if piece in ".!?;:\n":
-            kind, weight = END, 0.0
-        else:
-            words += 1
-            kind, weight = lexicon.read(piece)
-        state, mark = GRAMMAR.move[state][kind]
-        if kind in (INSULT, THREAT):
-            if mark & NEGATED:
-                sums[2] += weight
-            elif mark & REPORTED:
-                sums[3] += weight
-            elif kind == THREAT:
-                sums[5 if mark & AIMED else 4] += weight
-            else:
-                sums[1 if mark & AIMED else 0] += weight
-            if kind == INSULT:
-                strongest = max(strongest, weight)
-    return np.concatenate((np.log1p(sums), [np.log1p(100 * sums[:4].sum() / max(1, words)), strongest]))
+        if piece in ".!?;\n":
+            if hit:
+                yield symbols, weights
+            symbols, weights, hit = [], [], False
+            continue
+        kind, weight = lexicon.read(piece)
+        symbols.append(kind)
+        weights.append(weight)
+        hit |= weight > 0
+    if hit:
+        yield symbols, weights
+
+
+def path_sums(text: str, lexicon: Lexicon) -> dict[str, float]:
+    """The weights of a text's matches, summed by path."""
+    sums = dict.fromkeys(PATHS, 0.0)
+    for symbols, weights in clauses(text, lexicon):
+        for symbol, weight in zip(marked_clause(symbols), weights, strict=True):
+            if weight:
+                sums[path_of(symbol)] += weight
+    return sums
+
+
+def evidence(text: str, lexicon: Lexicon) -> float:
+    """What the clauses of a text weigh together: each match by its word's weight times its path's."""
+    total = 0.0
+    for symbols, weights in clauses(text, lexicon):
+        total += sum(_WEIGHT_OF[symbol] * weight for symbol, weight in zip(marked_clause(symbols), weights, strict=True) if weight)
+    return total
+
+
+#: What the last step weighs: whether anything matched, how much, and in how long a text (chance matches grow with it).
+FEATURES = ("matched", "evidence", "length")
+
+
+def features(texts: pa.Array, lexicon: Lexicon) -> np.ndarray:
+    """The FEATURES of each text. Only texts that hold a word that can match go through the grammar."""
+    words, codes, starts = _distinct_words(texts)
+    can = np.array([bool(w) and any(lexicon.read(p)[1] > 0 for p in {w, *re.split("['’]", w)}) for w in words] or [False])
+    real = np.array([bool(w) for w in words] or [False])
+    count = lambda flags: np.concatenate(([0], np.cumsum(flags[codes]))) if len(codes) else np.zeros(1, np.int64)
+    hits, lengths = count(can), count(real)
+    out = np.zeros((len(texts), len(FEATURES)))
+    for k in np.flatnonzero(hits[starts[1:]] > hits[starts[:-1]]):
+        if found := evidence(texts[int(k)].as_py(), lexicon):
+            out[k] = 1.0, np.log1p(found), -np.log1p(lengths[starts[k + 1]] - lengths[starts[k]])
+    return out
 
 
 def _distinct_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -220,31 +284,49 @@ def _clean_counts(sample: DataFrame, terms: list[str]) -> dict[str, int]:
     return {r.term: r.n for r in rows.groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator()}
 
 
+def log_tail(n: int, k: int, share: float) -> float:
+    """Log of the chance of k or more among n draws of this share, or a little more."""
+    if k <= n * share:
+        return 0.0
+    first = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(share) + (n - k) * math.log1p(-share)
+    ratio = (n - k) * share / ((k + 1) * (1 - share))  # terms fall at least so fast
+    return min(0.0, first - math.log1p(-ratio) if ratio < 1 else 0.0)
+
+
 def learn_lexicon(sample: DataFrame) -> Lexicon:
-    """Words and stems that toxic texts have in many contexts, and others hardly ever; weights are smoothed log-odds."""
+    """Words and stems that toxic texts have in many contexts, and more often than others; weights are smoothed log-odds."""
     totals = {r.label: r.n for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = totals.get(1, 0), totals.get(0, 0)
-    wanted = (F.col("contexts") >= LEAST_CONTEXTS) & ((F.col("suffixes") >= LEAST_SUFFIXES) | ~F.col("term").endswith("*"))
-    found = {r.term: r.texts for r in _candidates(sample).filter(wanted).orderBy(F.desc("texts"), "term").limit(CANDIDATES).collect()}
-    others = _clean_counts(sample, sorted(found)) if found else {}
+    verbs = THREATS.split()
+    fresh = (F.col("contexts") >= MANY_CONTEXTS) | (F.col("contexts") >= FRESH_SHARE * F.col("texts"))
+    wanted = fresh & (F.col("contexts") >= LEAST_CONTEXTS) & ((F.col("suffixes") >= LEAST_SUFFIXES) | ~F.col("term").endswith("*"))
+    counted = durable(_candidates(sample).filter(wanted | F.col("term").isin(verbs)))
+    found = {r.term: r.texts for r in counted.filter(wanted).orderBy(F.desc("texts"), "term").limit(CANDIDATES).collect()}
+    seen = {r.term: r.texts for r in counted.filter(F.col("term").isin(verbs)).collect()}
+    others = _clean_counts(sample, sorted({*found, *verbs})) if toxic else {}
     share = toxic / max(1, toxic + clean)
-    lucky = (np.log(LUCK) - np.log(max(1, len(found)))) / np.log(share) if 0 < share < 1 else 0.0
-    good = {t: n for t, n in found.items() if others.get(t, 0) <= MOST_CLEAN * n and n - others.get(t, 0) >= lucky}
-    weight = lambda t: float(np.log((good[t] + 0.5) / (toxic + 1)) - np.log((others.get(t, 0) + 0.5) / (clean + 1)))
-    stems = {}
-    for term in sorted((t for t in good if t[-1] == "*"), key=len):
-        if any(term.startswith(s) for s in stems):
-            continue
-        best = term[:-1]
-        while len(longer := [t[:-1] for t in good if t[-1] == "*" and len(t) == len(best) + 2 and t.startswith(best) and good[t] >= 0.95 * good[best + "*"]]) == 1:
-            best = longer[0]
-        stems[best] = weight(best + "*")
-    words = {t: weight(t) for t in good if t[-1] != "*" and not any(t.startswith(s) for s in stems)}
-    return Lexicon(words, stems)
-
-
-def fit_weights(rows: np.ndarray, labels: np.ndarray, penalty: float = 0.05, rounds: int = 40) -> np.ndarray:
-    """Logistic weights (the last is the intercept) by damped Newton steps; matches never speak for label 0."""
+    odds = lambda n, term: float(np.log((n + 0.5) / (toxic + 1)) - np.log((others.get(term, 0) + 0.5) / (clean + 1)))
+    limit = math.log(LUCK / max(1, len(found)))
+    good = {}
+    for term, n in found.items():
+        weight = odds(n, term)
+        if 0 < share < 1 and weight >= math.log(LEAST_RATIO) and log_tail(n + others.get(term, 0), n, share) <= limit:
+            good[term] = weight
+    insults = {t: w for t, w in good.items() if t not in verbs}
+    prior = float(np.median(list(insults.values()))) if insults else PRIOR_WEIGHT
+    threats = {}
+    for verb in verbs:
+        n = seen.get(verb, 0)
+        texts = n + others.get(verb, 0)
+        threats[verb] = max(0.0, (PRIOR_TEXTS * prior + texts * odds(n, verb)) / (PRIOR_TEXTS + texts))
+    return Lexicon({t: w for t, w in insults.items() if t[-1] != "*"}, {t[:-1]: w for t, w in insults.items() if t[-1] == "*"}, threats)
+
+
+def fit_weights(rows: np.ndarray, labels: np.ndarray, penalty: float = 0.05, rounds: int = 60) -> np.ndarray:
+    """Logistic weights of FEATURES, and the intercept last, by damped Newton steps.
+
+    Evidence speaks for label 1 and length against it, or not at all; the weight of a match as such is free.
+    """
     x = np.column_stack((rows, np.ones(len(rows))))
     w = np.zeros(x.shape[1])
     if not len(rows) or labels.min() == labels.max():
@@ -258,8 +340,8 @@ def fit_weights(rows: np.ndarray, labels: np.ndarray, penalty: float = 0.05, rou
         gradient = x.T @ (p - labels) + ridge * w
         curve = (x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge + 1e-9)
         step = np.linalg.solve(curve, gradient)
-        w -= step * min(1.0, 5.0 / max(1e-12, np.abs(step).max()))
-        w[:-1] = np.maximum(w[:-1], 0.0)
+        w -= step * min(1.0, 2.0 / max(1e-12, np.abs(step).max()))
+        w[1:-1] = np.maximum(w[1:-1], 0.0)
     return w
 
 
@@ -269,35 +351,33 @@ class Model:
     weights: np.ndarray
 
     def scores(self, texts: pa.Array) -> np.ndarray:
-        """Texts without a word that can match get the intercept's score; the others go through the grammar."""
-        words, codes, starts = _distinct_words(texts)
-        can = np.array([bool(w) and any(self.lexicon.read(p)[0] in (INSULT, THREAT) for p in re.split("['’]", w) + [w]) for w in words] or [False])
-        hit = np.concatenate(([0], np.cumsum(can[codes]))) if len(codes) else np.zeros(1, np.int64)
-        touched = np.flatnonzero(hit[starts[1:]] > hit[starts[:-1]])
-        raw = np.full(len(texts), self.weights[-1])
-        for k in touched:
-            raw[k] = float(np.append(clause_features(texts[int(k)].as_py(), self.lexicon), 1.0) @ self.weights)
+        raw = features(texts, self.lexicon) @ self.weights[:-1] + self.weights[-1]
         return 1 / (1 + np.exp(-np.clip(raw, -30, 30)))
 
 
 def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0, rows: int = SAMPLE_ROWS) -> Model:
-    sample = durable(labelled_sample(docs, labels, "toxic", modulus, held_out, rows).limit(rows))
+    """Lexicon and weights from at most `rows` labelled documents that aren't held out; without labels no word matches."""
+    sample = durable(labelled_sample(docs, labels, "toxic", modulus, held_out, rows))
     lexicon = learn_lexicon(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for cut in in_slices(batch, "text"):
-                found = [clause_features(t, lexicon) for t in cut.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([cut.column("label"), pa.array(found, pa.list_(pa.float64()))], names=["label", "features"])
+                found = pa.array(list(features(cut.column("text"), lexicon)), pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([cut.column("label"), found], names=["label", "features"])
 
     table = sample.mapInArrow(run, "label int, features array<double>").toArrow()
-    features = np.array(table.column("features").to_pylist(), dtype=float).reshape(-1, len(FEATURES))
-    order = np.lexsort(features.T) if len(features) else np.empty(0, int)
-    return Model(lexicon, fit_weights(features[order], np.array(table.column("label").to_pylist(), dtype=float)[order]))
+    known, marks = np.array(table.column("features").to_pylist(), dtype=float).reshape(-1, len(FEATURES)), np.array(table.column("label").to_pylist(), dtype=float)
+    order = np.lexsort((*known.T, marks))
+    return Model(lexicon, fit_weights(known[order], marks[order]))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and score of each row over its whole text; null text is empty, repeated rows are scored each."""
+    """doc_id and score (0 to 1) of each row over its whole text.
+
+    Null text is empty; texts without a match have one score, the share of toxic ones among such labelled texts. Null
+    ids stay null, repeated rows are scored each, an empty table gives no rows, other columns are ignored.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -418,14 +418,3 @@ def test_toxicity_on_held_out_labels_and_odd_rows(spark, odd, none):
     assert "nasty" in model.lexicon.words and any(s.startswith("grol") for s in model.lexicon.stems)
     assert toxicity.score(odd, model).count() == 7 and toxicity.score(none, model).count() == 0
     assert 0 <= toxicity.score(spark.createDataFrame([(1, "")], "doc_id long, text string"), toxicity.train(none, labels)).first().score <= 1
-
-
-def test_grammar_marks_what_precedes():
-    lexicon = toxicity.Lexicon({"vile": 2.0}, {})
-    place = dict(zip(toxicity.FEATURES, range(8), strict=True))
-    read = lambda text: toxicity.clause_features(text, lexicon)
-    assert read("so vile a thing")[place["plain"]] > 0
-    assert read("you are vile")[place["aimed"]] > 0 and read("you left. vile")[place["aimed"]] == 0
-    assert read("not so vile")[place["negated"]] > 0 and read("not in any of those a vile")[place["negated"]] == 0
-    assert read("she said it was vile")[place["reported"]] > 0
-    assert read("i will kill")[place["threat"]] > 0 and not read("calm words only")[:6].any()

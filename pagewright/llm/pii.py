@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 ROUNDS = 8
 #: Vectors of more parts are hashed as a digest of their half, so that the work grows with their length alone.
 LONG = 512
-#: Days that dates are permuted among: 1900-01-01 and the 250 x 292 - 1 days after it.
-DATE_RADICES, DATE_ORIGIN = (250, 292), "1900-01-01"
+#: Dates are permuted within blocks of days that fill the years 1 to 9999 without a gap: one of 65 x 563 days, 49 of
+#: 250 x 292 (one of them begins on 1900-01-01) and one of 64 x 601.
+DATE_ORIGIN, FIRST_BLOCK, BLOCK, LAST_BLOCK, BLOCKS = "0001-01-01", (65, 563), (250, 292), (64, 601), 49
+#: Country codes of one and of two digits; all others have three.
+SHORT_CODES, TWO_DIGIT_CODES = "[17]", "2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
 
 _EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9][A-Za-z0-9._%+\-]*+@(?:[A-Za-z0-9][A-Za-z0-9\-]{0,62}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9\-])"
 _SECRET_NAME = r"(?i:(?<![a-z])(?:password|passwd|pwd|token|secret|api_?key)\s{0,3}[=:]\s{0,3}[\"']?)"
@@ -135,13 +138,53 @@ def _refill(shape: Column, digits: Column) -> Column:
     return F.array_join(F.transform(_characters(shape), lambda c, i: F.when(_is_digit(c), F.substr(digits, F.length(F.regexp_replace(F.substr(shape, F.lit(1), i + 1), "[^0-9]", "")), F.lit(1))).otherwise(c)), "")
 
 
+def _long(x) -> Column:
+    return (x if isinstance(x, Column) else F.lit(x)).cast("bigint")
+
+
 def _date(match: Column, pattern: str, key: str) -> Column:
-    """A real date of the period as another in the same format; other strings stay."""
-    day = F.datediff(F.to_date(F.try_to_timestamp(match, F.lit(pattern))), F.lit(DATE_ORIGIN).cast("date")).cast("bigint")
-    a, b = DATE_RADICES
-    out = feistel(F.array(F.floor(day / b).cast("bigint"), day % b), F.array(F.lit(a).cast("bigint"), F.lit(b).cast("bigint")), key, "date")
-    moved = F.date_format(F.date_add(F.lit(DATE_ORIGIN).cast("date"), (out[0] * b + out[1]).cast("int")), pattern)
-    return F.when((day >= 0) & (day < a * b), moved).otherwise(match)
+    """A real date as another of the same block of days in the same format; other strings stay."""
+    origin = F.lit(DATE_ORIGIN).cast("date")
+    day = _long(F.datediff(F.to_date(F.try_to_timestamp(match, F.lit(pattern))), origin))
+    head, size = FIRST_BLOCK[0] * FIRST_BLOCK[1], BLOCK[0] * BLOCK[1]
+    number = F.floor((day - head) / size)
+    by_block = lambda first, middle, last: _long(F.when(day < head, first).when(number < BLOCKS, middle).otherwise(last))
+    a, b = (by_block(*(F.lit(x[i]) for x in (FIRST_BLOCK, BLOCK, LAST_BLOCK))) for i in (0, 1))
+    base = by_block(F.lit(0), head + number * size, F.lit(head + BLOCKS * size))
+    out = feistel(F.array(_long(F.floor((day - base) / b)), (day - base) % b), F.array(a, b), key, "date")
+    moved = F.date_format(F.date_add(origin, (base + out[0] * b + out[1]).cast("int")), pattern)
+    return F.when(day >= 0, moved).otherwise(match)
+
+
+def _day_first(match: Column, key: str) -> Column:
+    """A real date written day/month/year whose day exceeds 12 as another such one; other strings stay.
+
+    So no result reads as month/day/year. Years move within their 200 (1900 to 2099 are one block; the first and the last
+    block are shorter). Days 13 to 28 move among those of all months, 29 and 30 among those of all months but February,
+    31 among the seven months that have it, 29 February among the leap years of its 400.
+    """
+    day, month, year = (_long(F.substring(match, at, n)) for at, n in ((1, 2), (4, 2), (7, 4)))
+    real = F.to_date(F.try_to_timestamp(match, F.lit("dd/MM/yyyy"))).isNotNull() & (day > 12)
+    base = F.when(year < 100, _long(1)).otherwise(F.floor((year - 100) / 200) * 200 + 100)
+    years = _long(F.when(year < 100, 99).when(year >= 9900, 100).otherwise(200))
+    text = lambda d, m, y: F.concat_ws("/", F.lpad(d.cast("string"), 2, "0"), F.lpad(m.cast("string"), 2, "0"), F.lpad(y.cast("string"), 4, "0"))
+
+    usual = feistel(F.array(year - base, month - 1, day - 13), F.array(years, _long(12), _long(16)), key, "day first")
+    late = feistel(F.array(year - base, month - F.when(month > 1, 2).otherwise(1), day - 29), F.array(years, _long(11), _long(2)), key, "late day")
+    longs = F.array(*(_long(m) for m in (1, 3, 5, 7, 8, 10, 12)))
+    last = feistel(F.array(year - base, _long(F.array_position(longs, month)) - 1), F.array(years, _long(7)), key, "last day")
+    cycle = year - 1 - (year - 1) % 400
+    four = F.floor((year - cycle) / 4)  # from 1 to 100, of which all but 25, 50 and 75 are leap years
+    rank = four - F.when(four > 75, 4).when(four > 50, 3).when(four > 25, 2).otherwise(1)
+    leap = feistel(F.array(_long(rank)), F.array(_long(97)), key, "leap day")[0]
+    again = leap + F.when(leap > 71, 4).when(leap > 47, 3).when(leap > 23, 2).otherwise(1)
+    moved = (
+        F.when((day == 29) & (month == 2), text(day, month, cycle + again * 4))
+        .when(day == 31, text(day, F.element_at(longs, (last[1] + 1).cast("int")), base + last[0]))
+        .when(day > 28, text(late[2] + 29, late[1] + F.when(late[1] > 0, 2).otherwise(1), base + late[0]))
+        .otherwise(text(usual[2] + 13, usual[1] + 1, base + usual[0]))
+    )
+    return F.when(real, moved).otherwise(match)
 
 
 def _digits_of(match: Column) -> Column:
@@ -153,8 +196,8 @@ def pseudonym(match: Column, key: str) -> Column:
     is_kind = lambda k: match.rlike(f"^(?:{dict(KINDS)[k]})$")
     digits = _digits_of(match)
 
-    local, host = F.substring_index(match, "@", 1), F.lower(F.substring_index(match, "@", -1))
-    labels, top = F.regexp_replace(host, r"\.[a-z]+$", ""), F.regexp_extract(host, r"\.[a-z]+$", 0)
+    local, host = F.substring_index(match, "@", 1), F.substring_index(match, "@", -1)
+    labels, top = F.regexp_replace(host, r"\.[A-Za-z]+$", ""), F.regexp_extract(host, r"\.[A-Za-z]+$", 0)
     email = F.concat(permute_characters(local, key, "email"), F.lit("@"), permute_characters(labels, key, "host"), top)
 
     head = F.regexp_extract(match, f"^{_SECRET_NAME}", 0)
@@ -191,9 +234,10 @@ def pseudonym(match: Column, key: str) -> Column:
     phone = _refill(match, F.concat(F.substr(digits, F.lit(1), F.length(digits) - 10), new_national))
 
     body = F.substr(digits, F.lit(1), F.length(digits) - 1)
-    card = _refill(match, F.when(is_luhn(digits), with_luhn(permute_digits(body, key, "card"))).otherwise(permute_digits(digits, key, "number")))
+    card = F.when(is_luhn(digits), _refill(match, with_luhn(permute_digits(body, key, "card")))).otherwise(match)
 
-    world = _refill(match, F.concat(F.substring(digits, 1, 2), permute_digits(F.substring(digits, 3, 32), key, "world")))
+    code = F.when(digits.rlike(f"^{SHORT_CODES}"), 1).when(digits.rlike(f"^(?:{TWO_DIGIT_CODES})"), 2).otherwise(3)
+    world = _refill(match, F.concat(F.substr(digits, F.lit(1), code), permute_digits(F.substr(digits, code + 1), key, "world")))
 
     return (
         F.when(F.contains(match, F.lit("@")) & is_kind("email"), email)
@@ -202,7 +246,7 @@ def pseudonym(match: Column, key: str) -> Column:
         .when(is_kind("iban"), iban)
         .when(is_kind("iso_date"), _date(match, "yyyy-MM-dd", key))
         .when(is_kind("day_date"), _date(match, "dd.MM.yyyy", key))
-        .when(is_kind("slash_date"), F.coalesce(F.when(F.try_to_timestamp(match, F.lit("MM/dd/yyyy")).isNotNull(), _date(match, "MM/dd/yyyy", key)), _date(match, "dd/MM/yyyy", key)))
+        .when(is_kind("slash_date"), F.when(F.substring(match, 1, 2) <= "12", _date(match, "MM/dd/yyyy", key)).otherwise(_day_first(match, key)))
         .when(is_kind("ipv4"), ipv4)
         .when(is_kind("ssn"), ssn)
         .when(is_kind("phone"), phone)
@@ -222,11 +266,14 @@ def pseudonymise_text(text: Column, key: str) -> Column:
 def pseudonymise(docs: DataFrame, key: str = "pagewright", text_col: str = "text") -> DataFrame:
     """docs with its text pseudonymised; all other columns and all rows stay.
 
-    Mail addresses, IBANs, dates, IPv4 addresses, social-security and telephone numbers, card and account numbers,
-    access keys and named secrets are replaced. Validity is kept: Luhn digits, IBAN check digits, calendar dates, number
-    plans. Equal values get equal pseudonyms in all documents, however their digits are spaced; different ones stay
-    different. Dates and IBANs that aren't valid stay. Null text stays null, empty text empty; an empty table gives no
-    rows. The key is a secret: who has it can revert the permutation.
+    Mail addresses, IBANs, dates, IPv4 addresses, social-security and telephone numbers, card numbers, access keys and
+    named secrets are replaced. Validity is kept: Luhn digits, IBAN check digits, calendar dates, country codes, number
+    plans of North America. Equal values get equal pseudonyms in all documents, however their digits are spaced;
+    different ones of a format stay different. What fails its check stays: dates that aren't in the calendar (years 1 to
+    9999), IBANs by their remainder, digit runs by Luhn's rule. A date with slashes is month/day/year if its first number
+    is 12 at most, else day/month/year, and is so afterwards. Null text stays null, empty text empty; texts of any length
+    are done whole; repeated rows stay; an empty table gives no rows; other columns, whatever their names, are untouched.
+    The key is a secret: who has it can revert the permutation.
     """
     marked = F.col(text_col).rlike("[0-9@]|(?i:password|passwd|pwd|token|secret|key)")
     return docs.withColumn(text_col, F.when(marked, pseudonymise_text(F.col(text_col), key)).otherwise(F.col(text_col)))

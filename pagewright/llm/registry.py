@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from pagewright.llm import ann, chat, decontaminate, packing, pii, quality, sharding, simhash, toxicity, wavelet
 
 QUERIES = {
@@ -16,7 +15,6 @@ QUERIES = {
     "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
     "op9_token_files": wavelet.op9_token_files,
     "op10_toxicity": toxicity.op10_toxicity,
-    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {"op3_chat_formatting": chat.ORACLE}

@@ -44,7 +44,7 @@ def assign_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text
     """A row per row of docs: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     The law is `key`: id and shard count alone decide the shard. Slots run gapless from 0 in each shard, in the order of
-    (bucket of the id, id, size, crc). Rows are numbered within (shard, bucket) and shifted by the counts of the
+    (bucket of the row, id, size, crc). Rows are numbered within (shard, bucket) and shifted by the counts of the
     buckets before, so no task holds a whole shard; the counts have at most shards x buckets rows, hence the broadcast.
     Null text: size 1, crc 0. A null id is a key like any other. Repeated rows get slots of their own. An empty table
     gives no rows. Other columns are ignored.
@@ -57,8 +57,9 @@ def assign_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text
         F.coalesce(F.crc32(raw), F.lit(0)).cast("bigint").alias("text_crc32"),
         jump_shard(key, shards).alias("shard"),
         jump_shard(key, shards + 1).alias("grown_shard"),
-        F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("slot")), F.lit(buckets)).cast("int").alias("bucket"),
     )
+    # an id that many rows share, null too, is spread over all buckets by the texts
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(buckets)).cast("int"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = rows.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
     offsets = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))

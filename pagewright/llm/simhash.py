@@ -153,10 +153,10 @@ def links(distinct: DataFrame, distance: int = MAX_DISTANCE) -> DataFrame:
     return variants.repartition("key").sortWithinPartitions("key", "fp").select("key", "fp").mapInArrow(run, "a long, b long").distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of an undirected edge list (a, b): root is the least node reachable.
 
-    Large-star and small-star in turn; a round ends in the shared folder. Each star step joins the edges with a row per
+    Large-star and small-star in turn until a round changes nothing; a round ends in the shared folder. Each star step joins the edges with a row per
     node, so the edges of a hot node can be split among tasks.
     """
 
@@ -171,57 +171,42 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         return moved.filter("u <> v").distinct()
 
     pairs = durable(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
-    mark = None
-    for _ in range(max_rounds):
-        pairs = durable(star(star(pairs, True), False))
-        seen = pairs.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if seen == mark:
-            break
-        mark = seen
-    else:
-        raise RuntimeError(f"no fixed point within {max_rounds} rounds")
+    mark, seen = None, ()
+    while seen != mark:
+        mark, pairs = seen, durable(star(star(pairs, True), False))
+        seen = tuple(pairs.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
 #: Parts that the fingerprints of one component are dealt to when they learn its least id.
 SALTS = 64
+#: A fingerprint of more than this share of the rows is hot; so there are fewer than 1 / HOT_SHARE of them.
+HOT_SHARE = 1 / 1024
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = MAX_DISTANCE, words_per_shingle: int = SHINGLE_WORDS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id for each row of docs.
 
     Fingerprints link at `distance` or fewer differing bits; component_id is the least doc_id reachable through links.
-    Copies are joined as one fingerprint first, so a group of copies costs one row in the index. Null ids take part, but
-    are never a component's id unless it has no other. Empty and null texts have fingerprint zero, linked like any other.
-    Repeated rows stay. An empty table gives no rows; other columns are ignored.
+    Copies are joined as one fingerprint first, so a group of copies costs one row in the index; the few hot fingerprints
+    find their class in a broadcast table, whose size is bounded by HOT_SHARE, so their copies stay where they are.
+    Null ids take part, but are never a component's id unless it has no other. Empty and null texts have fingerprint
+    zero, linked like any other. Repeated rows stay. An empty table gives no rows; other columns are ignored.
     """
     marked = durable(fingerprints(docs, id_col, text_col, words_per_shingle))
-    distinct = durable(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    distinct = durable(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")))
+    limit = (distinct.agg(F.sum("copies")).first()[0] or 0) * HOT_SHARE
     roots = components(links(distinct, distance))
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", "copies", F.coalesce("root", "fp").alias("root"))
     rooted = rooted.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int"))
     # a component's least id goes to each of its salts that occurs, so that a giant component is many tasks' work
     salts = rooted.groupBy("root", "salt").agg(F.min("least").alias("least"))
     least = salts.groupBy("root").agg(F.min("least").alias("component_id"), F.collect_set("salt").alias("salts")).select("root", "component_id", F.explode("salts").alias("salt"))
-    classes = rooted.join(least, ["root", "salt"]).select("fp", "component_id")
-    return marked.join(classes, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = MAX_DISTANCE) -> DataFrame:
-    """The columns of docs, with one row of each component: the least (id, text hash), nulls last.
-
-    Rows that are wholly equal in id and text are one. Only ids and hashes are compared; texts join the chosen keys.
-    """
-    key = F.xxhash64(F.col(id_col).cast("string"), text_or_empty(text_col))
-    keyed = docs.withColumn("__dup_key", key)
-    marked = near_duplicates(keyed.select(F.col("__dup_key"), text_col), "__dup_key", text_col, distance)
-    ids = keyed.select("__dup_key", F.col(id_col).cast("bigint").alias("__dup_id")).distinct()
-    best = (
-        marked.select(F.col("doc_id").alias("__dup_key"), "component_id").distinct().join(ids, "__dup_key")
-        .groupBy("component_id").agg(F.min(F.struct(F.col("__dup_id").isNull().alias("n"), F.col("__dup_id").alias("i"), F.col("__dup_key").alias("k")))["k"].alias("__dup_key"))
-    )
-    kept = keyed.join(best.select("__dup_key"), "__dup_key", "left_semi")
-    return kept.dropDuplicates(["__dup_key"]).select(*docs.columns)
+    classes = durable(rooted.join(least, ["root", "salt"]).select("fp", "component_id", (F.col("copies") > limit).alias("hot")))
+    hot = F.broadcast(classes.filter("hot").select("fp", "component_id"))
+    usual = marked.join(F.broadcast(classes.filter("hot").select("fp")), "fp", "left_anti")
+    found = marked.join(hot, "fp").unionByName(usual.join(classes.filter("not hot").drop("hot"), "fp"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pagewright.functions import fixed
+from pagewright.functions.fixed import ARTICLE, ARTICLE_LINK, BODY, CANONICAL, DATA_ID, HEADING, JSON_LD, MAIN, OG_URL, PAGE_NUMBER, TITLE, meta  # noqa: F401
 
 
 def _without(text: Column, patterns, flags: str, by: str = "") -> Column:
@@ -50,19 +51,6 @@ def canonical_content(html: Column) -> Column:
     return collapse(F.regexp_replace(remove_volatile(html), fixed.TAG, " "))
 
 
-def meta(attribute: str, names: str) -> str:
-    """A meta element whose attribute has one of the names, capturing its content."""
-    return rf"""<meta[^>]*{attribute}=["'](?:{names})["'][^>]*content=["']([^"']+)["']"""
-
-
-TITLE, HEADING = r"<title[^>]*>(.*?)</title>", r"<h([1-6])[^>]*>(.*?)</h\1>"
-CANONICAL = r"""<link[^>]*rel=["']canonical["'][^>]*href=["']([^"']+)["']"""
-OG_URL = meta("property", "og:url")
-ARTICLE_LINK = r"""<a[^>]*href=["']([^"']*article[^"']*)["'][^>]*>(.*?)</a>"""
-DATA_ID, PAGE_NUMBER = r"""data-id=["']([^"']+)["']""", r"page[^>]*>(\d+)</[^>]*>"
-JSON_LD = r"""<script[^>]*type=["']application/ld\+json["'][^>]*>(.*?)</script>"""
-
-
 def microdata(name: str) -> str:
     return rf"""itemprop=["']{name}["'][^>]*content=["']([^"']+)["']"""
 
@@ -124,14 +112,60 @@ def structured_content(html: Column) -> Column:
     )
 
 
+#: Characters that JSON has a short escape for, with it.
+_SHORT_ESCAPES = (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f"))
+
+
+def json_string(text: Column) -> Column:
+    """A JSON string of ASCII characters alone, as serialisers in plain-ASCII mode write it; null stays null."""
+    for mark, escape in _SHORT_ESCAPES:
+        text = F.replace(text, F.lit(mark), F.lit(escape))
+    unit = lambda n: F.concat(F.lit("\\u"), F.lower(F.lpad(F.hex(n), 4, "0")))
+
+    def ascii_of(c: Column) -> Column:
+        code = F.ascii(c)
+        beyond = code - 0x10000
+        pair = F.concat(unit(F.shiftright(beyond, 10) + 0xD800), unit(beyond.bitwiseAND(0x3FF) + 0xDC00))
+        return F.when((code >= 32) & (code < 127), c).when(code < 0x10000, unit(code)).otherwise(pair)
+
+    odd = text.rlike(r"[^\x20-\x7e]")
+    return F.concat(F.lit('"'), F.when(odd, F.array_join(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), ascii_of), "")).otherwise(text), F.lit('"'))
+
+
+def _json_object(pairs: list[tuple[str, Column]]) -> Column:
+    """An object of the pairs whose value, JSON already, isn't null, in the order given."""
+    written = F.array(*(F.concat(F.lit(f'"{k}": '), v) for k, v in pairs))
+    return F.concat(F.lit("{"), F.array_join(written, ", "), F.lit("}"))
+
+
+def _json_array(values: Column, write) -> Column:
+    return F.concat(F.lit("["), F.array_join(F.transform(values, write), ", "), F.lit("]"))
+
+
+def structured_json(html: Column) -> Column:
+    """structured_content as one JSON text: sorted keys, a blank after commas and colons, ASCII alone; absent parts left out."""
+
+    def write(c: Column) -> Column:
+        stable, listing = c["stable_elements"], c["listing_content"]
+        data = F.transform(F.array_sort(F.map_entries(c["structured_data"])), lambda e: F.concat(json_string(e["key"]), F.lit(": "), json_string(e["value"])))
+        link = lambda x: _json_object([("href", json_string(x["href"])), ("text", json_string(x["text"]))])
+        return _json_object(
+            [
+                ("canonical_content", json_string(c["canonical_content"])),
+                ("listing_content", _json_object([("article_links", _json_array(listing["article_links"], link)), ("item_ids", _json_array(listing["item_ids"], json_string)), ("page_number", json_string(listing["page_number"]))])),
+                ("stable_elements", _json_object([("canonical_url", json_string(stable["canonical_url"])), ("headings", _json_array(stable["headings"], json_string)), ("og_url", json_string(stable["og_url"])), ("title", json_string(stable["title"]))])),
+                ("structured_data", F.concat(F.lit("{"), F.array_join(data, ", "), F.lit("}"))),
+            ]
+        )
+
+    return let(structured_content(html), write)
+
+
 def content_pattern(attribute: str, word: str) -> str:
     inside = rf"""[^"']*{word}[^"']*""" if attribute == "class" else word
     return rf"""<[^>]*{attribute}=["']{inside}["'][^>]*>(.*?)</[^>]*>"""
 
 
-MAIN, ARTICLE, BODY = r"<main[^>]*>(.*?)</main>", r"<article[^>]*>(.*?)</article>", r"<body[^>]*>(.*?)</body>"
-
-
 def text_content(html: Column) -> Column:
     """The content elements' inner HTML, joined selector by selector (overlaps repeat), else the body's, else the text."""
     bare = _without(html, (fixed.SCRIPT, fixed.STYLE, fixed.COMMENT), "(?ius)")
@@ -160,6 +194,23 @@ def jaccard(left: Column, right: Column) -> Column:
     return F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
+def top_words(text: Column, top: int, by_place: bool) -> Column:
+    """array<struct(word, n)>: a text's commonest words of over two letters, ties by first place or by the word.
+
+    Words are sorted with their places, equal ones are runs, and runs are ranked: all inside the row, no shuffle.
+    """
+    placed = F.array_sort(F.filter(F.transform(tokens(text), lambda w, i: F.struct(w.alias("word"), i.alias("place"))), lambda x: F.length(x["word"]) > 2))
+    starts = lambda s: F.filter(F.transform(s, lambda x, i: F.struct(x["word"].alias("word"), x["place"].alias("place"), i.alias("at"))), lambda x: (x["at"] == 0) | (F.element_at(s, F.greatest(x["at"], F.lit(1)))["word"] != x["word"]))
+
+    def runs(pair: Column) -> Column:
+        end = lambda k: F.coalesce(F.try_element_at(pair["starts"], k + 2)["at"], pair["size"])
+        tie = lambda x: x["place"] if by_place else x["word"]
+        return F.transform(pair["starts"], lambda x, k: F.struct((x["at"] - end(k)).alias("less"), tie(x).alias("tie"), x["word"].alias("word")))
+
+    ranked = let(placed, lambda s: let(F.struct(starts(s).alias("starts"), F.size(s).alias("size")), runs))
+    return F.transform(F.slice(F.array_sort(ranked), 1, top), lambda x: F.struct(x["word"].alias("word"), (-x["less"]).cast("bigint").alias("n")))
+
+
 def markdown_title(markdown: Column) -> Column:
     return F.coalesce(F.trim(first(markdown, r"^# ([^\n]*)", 1, "(?md)")), F.lit("FAQ"))
 

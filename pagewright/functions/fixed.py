@@ -75,46 +75,45 @@ CHINESE_SCRIPTS = {
     "zh-cn": "Simplified Chinese", "zh-tw": "Traditional Chinese", "zh-hk": "Traditional Chinese",
     "zh-sg": "Simplified Chinese", "zh-mo": "Traditional Chinese",
 }
-# Regional codes whose language is their first part.
-REGIONAL = (
-    "en-us en-gb en-ca en-au es-es es-mx es-ar es-cl fr-fr fr-ca fr-be fr-ch de-de de-at de-ch de-li pt-br pt-pt "
-    "zh-cn zh-tw zh-hk zh-sg ja-jp ko-kr ru-ru it-it it-ch nl-nl nl-be sv-se sv-fi da-dk no-no fi-fi pl-pl cs-cz sk-sk "
-    "hu-hu ro-ro bg-bg hr-hr sl-si et-ee lv-lv lt-lt mt-mt el-gr tr-tr is-is ga-ie cy-gb eu-es ca-es gl-es ast-es oc-fr "
-    "br-fr co-fr rm-ch fur-it sc-it vec-it lmo-it pms-it nap-it scn-it lij-it rgn-it eml-it"
-).split()
+# Regional codes and their languages.
+REGIONAL = {
+    "en-us": "en", "en-gb": "en", "en-ca": "en", "en-au": "en", "es-es": "es", "es-mx": "es", "es-ar": "es", "es-cl": "es", "fr-fr": "fr",
+    "fr-ca": "fr", "fr-be": "fr", "fr-ch": "fr", "de-de": "de", "de-at": "de", "de-ch": "de", "de-li": "de", "pt-br": "pt", "pt-pt": "pt",
+    "zh-cn": "zh", "zh-tw": "zh", "zh-hk": "zh", "zh-sg": "zh", "ja-jp": "ja", "ko-kr": "ko", "ru-ru": "ru", "it-it": "it", "it-ch": "it",
+    "nl-nl": "nl", "nl-be": "nl", "sv-se": "sv", "sv-fi": "sv", "da-dk": "da", "no-no": "no", "fi-fi": "fi", "pl-pl": "pl", "cs-cz": "cs",
+    "sk-sk": "sk", "hu-hu": "hu", "ro-ro": "ro", "bg-bg": "bg", "hr-hr": "hr", "sl-si": "sl", "et-ee": "et", "lv-lv": "lv", "lt-lt": "lt",
+    "mt-mt": "mt", "el-gr": "el", "tr-tr": "tr", "is-is": "is", "ga-ie": "ga", "cy-gb": "cy", "eu-es": "eu", "ca-es": "ca", "gl-es": "gl",
+    "ast-es": "ast", "oc-fr": "oc", "br-fr": "br", "co-fr": "co", "rm-ch": "rm", "fur-it": "fur", "sc-it": "sc", "vec-it": "vec",
+    "lmo-it": "lmo", "pms-it": "pms", "nap-it": "nap", "scn-it": "scn", "lij-it": "lij", "rgn-it": "rgn", "eml-it": "eml",
+}
 # Three-letter codes and what they become.
-THREE_LETTER = dict(
-    x.split(":")
-    for x in (
-        "eng:en spa:es fra:fr deu:de por:pt zho:zh jpn:ja kor:ko rus:ru ita:it nld:nl swe:sv dan:da nor:no fin:fi pol:pl "
-        "ces:cs slk:sk hun:hu ron:ro bul:bg hrv:hr slv:sl est:et lav:lv lit:lt mlt:mt ell:el tur:tr isl:is gle:ga cym:cy "
-        "eus:eu cat:ca glg:gl ast:ast oci:oc bre:br cos:co roh:rm fur:fur srd:sc vec:vec lmo:lmo pms:pms nap:nap scn:scn "
-        "lij:lij rgn:rgn eml:eml ara:ar heb:he fas:fa urd:ur pus:ps snd:sd yid:yi div:dv kur:ku ckb:ckb"
-    ).split()
-)
+THREE_LETTER = {
+    "eng": "en", "spa": "es", "fra": "fr", "deu": "de", "por": "pt", "zho": "zh", "jpn": "ja", "kor": "ko", "rus": "ru", "ita": "it",
+    "nld": "nl", "swe": "sv", "dan": "da", "nor": "no", "fin": "fi", "pol": "pl", "ces": "cs", "slk": "sk", "hun": "hu", "ron": "ro",
+    "bul": "bg", "hrv": "hr", "slv": "sl", "est": "et", "lav": "lv", "lit": "lt", "mlt": "mt", "ell": "el", "tur": "tr", "isl": "is",
+    "gle": "ga", "cym": "cy", "eus": "eu", "cat": "ca", "glg": "gl", "ast": "ast", "oci": "oc", "bre": "br", "cos": "co", "roh": "rm",
+    "fur": "fur", "srd": "sc", "vec": "vec", "lmo": "lmo", "pms": "pms", "nap": "nap", "scn": "scn", "lij": "lij", "rgn": "rgn",
+    "eml": "eml", "ara": "ar", "heb": "he", "fas": "fa", "urd": "ur", "pus": "ps", "snd": "sd", "yid": "yi", "div": "dv", "kur": "ku",
+    "ckb": "ckb",
+}
 # Top-level domains and the languages they hint at.
-TOP_LEVEL = dict(
-    x.split(":")
-    for x in (
-        "fr:fr de:de es:es it:it pt:pt ru:ru pl:pl nl:nl se:sv no:no dk:da fi:fi hu:hu ro:ro bg:bg hr:hr si:sl sk:sk cz:cs "
-        "ee:et lv:lv lt:lt mt:mt gr:el tr:tr is:is ie:ga uk:en au:en jp:ja kr:ko cn:zh tw:zh hk:zh sg:zh ar:ar il:he ir:fa "
-        "pk:ur af:ps sd:sd yi:yi mv:dv iq:ku"
-    ).split()
-)
+TOP_LEVEL = {
+    "fr": "fr", "de": "de", "es": "es", "it": "it", "pt": "pt", "ru": "ru", "pl": "pl", "nl": "nl", "se": "sv", "no": "no", "dk": "da",
+    "fi": "fi", "hu": "hu", "ro": "ro", "bg": "bg", "hr": "hr", "si": "sl", "sk": "sk", "cz": "cs", "ee": "et", "lv": "lv", "lt": "lt",
+    "mt": "mt", "gr": "el", "tr": "tr", "is": "is", "ie": "ga", "uk": "en", "au": "en", "jp": "ja", "kr": "ko", "cn": "zh", "tw": "zh",
+    "hk": "zh", "sg": "zh", "ar": "ar", "il": "he", "ir": "fa", "pk": "ur", "af": "ps", "sd": "sd", "yi": "yi", "mv": "dv", "iq": "ku",
+}
 # Names of languages.
-LANGUAGE_NAMES = dict(
-    x.split(":")
-    for x in (
-        "en:English es:Spanish fr:French de:German pt:Portuguese it:Italian nl:Dutch sv:Swedish da:Danish no:Norwegian "
-        "fi:Finnish pl:Polish cs:Czech sk:Slovak hu:Hungarian ro:Romanian bg:Bulgarian hr:Croatian sl:Slovenian et:Estonian "
-        "lv:Latvian lt:Lithuanian mt:Maltese el:Greek tr:Turkish is:Icelandic ga:Irish cy:Welsh eu:Basque ca:Catalan "
-        "gl:Galician ast:Asturian oc:Occitan br:Breton cos:Corsican rm:Romansh fur:Friulian srd:Sardinian vec:Venetian "
-        "lmo:Lombard pms:Piedmontese nap:Neapolitan scn:Sicilian lij:Ligurian rgn:Romagnol eml:Emilian zh:Chinese "
-        "ja:Japanese ko:Korean ru:Russian ar:Arabic he:Hebrew fa:Persian ur:Urdu ps:Pashto sd:Sindhi yi:Yiddish dv:Dhivehi "
-        "ku:Kurdish"
-    ).replace("_", " ").split(" ")
-)
-LANGUAGE_NAMES["ckb"] = "Central Kurdish"
+LANGUAGE_NAMES = {
+    "en": "English", "es": "Spanish", "fr": "French", "de": "German", "pt": "Portuguese", "it": "Italian", "nl": "Dutch", "sv": "Swedish",
+    "da": "Danish", "no": "Norwegian", "fi": "Finnish", "pl": "Polish", "cs": "Czech", "sk": "Slovak", "hu": "Hungarian", "ro": "Romanian",
+    "bg": "Bulgarian", "hr": "Croatian", "sl": "Slovenian", "et": "Estonian", "lv": "Latvian", "lt": "Lithuanian", "mt": "Maltese",
+    "el": "Greek", "tr": "Turkish", "is": "Icelandic", "ga": "Irish", "cy": "Welsh", "eu": "Basque", "ca": "Catalan", "gl": "Galician",
+    "ast": "Asturian", "oc": "Occitan", "br": "Breton", "cos": "Corsican", "rm": "Romansh", "fur": "Friulian", "srd": "Sardinian",
+    "vec": "Venetian", "lmo": "Lombard", "pms": "Piedmontese", "nap": "Neapolitan", "scn": "Sicilian", "lij": "Ligurian", "rgn": "Romagnol",
+    "eml": "Emilian", "zh": "Chinese", "ja": "Japanese", "ko": "Korean", "ru": "Russian", "ar": "Arabic", "he": "Hebrew", "fa": "Persian",
+    "ur": "Urdu", "ps": "Pashto", "sd": "Sindhi", "yi": "Yiddish", "dv": "Dhivehi", "ku": "Kurdish", "ckb": "Central Kurdish",
+}
 
 # Abbreviations of time zones. Those of UTC become +00:00; the others make a time unreadable.
 UTC_NAMES, OTHER_ZONES = ("GMT", "UTC", "Z"), ("EST", "EDT", "CST", "CDT", "MST", "MDT", "PST", "PDT")
@@ -123,3 +122,70 @@ RELATIVE_UNITS = (("years", 365 * 86400), ("months", 30 * 86400), ("weeks", 7 *
 EARLIEST = "1990-01-01 00:00:00"
 # Keys of JSON-LD objects that hold dates.
 JSON_LD_KEYS = ("dateModified", "datePublished", "lastModified", "updated", "modified")
+
+# Where feeds and sitemaps are looked for, how many feeds are, and links to feeds.
+FEED_PATHS = ("/feed", "/rss.xml", "/atom.xml", "/feed.xml", "/index.xml")
+MAX_FEEDS = 5
+FEED_LINK = r"""<link[^>]*rel=["']alternate["'][^>]*type=["'][^"']*(?:rss|atom|xml)[^"']*["'][^>]*href=["']([^"']+)["']"""
+SITEMAP_PATHS = ("/sitemap.xml", "/sitemap_index.xml", "/sitemaps.xml", "/robots.txt")
+
+
+def meta(attribute: str, names: str) -> str:
+    """A meta element whose attribute has one of the names, capturing its content."""
+    return rf"""<meta[^>]*{attribute}=["'](?:{names})["'][^>]*content=["']([^"']+)["']"""
+
+
+# Elements of a page.
+TITLE, HEADING = r"<title[^>]*>(.*?)</title>", r"<h([1-6])[^>]*>(.*?)</h\1>"
+CANONICAL = r"""<link[^>]*rel=["']canonical["'][^>]*href=["']([^"']+)["']"""
+OG_URL = meta("property", "og:url")
+ARTICLE_LINK = r"""<a[^>]*href=["']([^"']*article[^"']*)["'][^>]*>(.*?)</a>"""
+DATA_ID, PAGE_NUMBER = r"""data-id=["']([^"']+)["']""", r"page[^>]*>(\d+)</[^>]*>"
+JSON_LD = r"""<script[^>]*type=["']application/ld\+json["'][^>]*>(.*?)</script>"""
+MAIN, ARTICLE, BODY = r"<main[^>]*>(.*?)</main>", r"<article[^>]*>(.*?)</article>", r"<body[^>]*>(.*?)</body>"
+HTML_LANG = r"""<html[^>]*lang=["']([^"']+)["']"""
+HREFLANG = r"""<link[^>]*hreflang=["']([^"']+)["'][^>]*>"""
+ALTERNATE = r"""<link[^>]*rel=["']alternate["'][^>]*hreflang=["']([^"']+)["'][^>]*>"""
+
+# Where pages write their times, in order of priority within each source.
+OG_NAMES = ("article:modified_time", "og:updated_time", "article:published_time")
+VISIBLE = (
+    r"""<time[^>]*datetime=["']([^"']+)["'][^>]*>""",
+    r"""<span[^>]*class=["'][^"']*date[^"']*["'][^>]*>([^<]+)</span>""",
+    r"""<div[^>]*class=["'][^"']*date[^"']*["'][^>]*>([^<]+)</div>""",
+    r"Updated[^:]*:\s*([^\n\r<]+)",
+    r"Last updated[^:]*:\s*([^\n\r<]+)",
+    r"Modified[^:]*:\s*([^\n\r<]+)",
+)
+META_PATTERNS = (
+    meta("name", "last-modified|lastmod|modified|updated|date"),
+    meta("property", "article:modified_time|og:updated_time"),
+    meta("http-equiv", "last-modified"),
+)
+# Seven label patterns of this source can capture one character only, so no time; they are left out.
+CONTENT_PATTERNS = (
+    *(rf'"{key}":\s*"([^"]+)"' for key in ("dateModified", "lastModified", "updated", "modified")),
+    *VISIBLE[:3],
+    meta("property", "article:modified_time"),
+    meta("name", "modified_date"),
+)
+# Dates anywhere on a page, with the format they are read by; of the months, May alone is known by name.
+PAGE_DATES = (
+    (r"\b(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}[+-]\d{2}:\d{2})\b", "yyyy-M-d'T'H:m:s[XXX][XX]"),
+    (r"\b(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2})\b", "yyyy-M-d'T'H:m:s[XXX][XX]"),
+    (r"\b(\d{1,2}/\d{1,2}/\d{4})\b", "M/d/yyyy"),
+    (r"\b(\d{4}-\d{2}-\d{2})\b", "yyyy-M-d"),
+    (r"\b(May \d{1,2}, \d{4})\b", "MMMM d, yyyy"),
+    (r"\b(May \d{1,2} \d{4})\b", "MMMM d yyyy"),
+    (r"\b(\d{1,2} May \d{4})\b", "d MMMM yyyy"),
+)
+
+# The sentences of a language directive; braces hold the language's name, its code, a script and a confidence.
+ENGLISH_DIRECTIVE = "REQUIREMENT: Write the FAQs in English. If the page content is in a different language, translate the FAQs to English."
+DIRECTIVE = (
+    "REQUIREMENT: Write the FAQs strictly in {name} (language code: {code}). Both questions and answers must be in {name}. ",
+    "Note: {name} is a right-to-left language. ",
+    "Use {script} script. ",
+    "Generate FAQs in the same language as the page content. The detected language is {code} with {confidence} confidence. You must use {name} for both questions and answers.",
+)
+TARGET_DIRECTIVE = "LANGUAGE REQUIREMENT: Generate FAQs in {code} language. Both questions and answers must be in {code}."

@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.functions import content, fixed, urls
 from pagewright.functions.content import every, first, meta
-
-HTML_LANG = r"""<html[^>]*lang=["']([^"']+)["']"""
-HREFLANG = r"""<link[^>]*hreflang=["']([^"']+)["'][^>]*>"""
-ALTERNATE = r"""<link[^>]*rel=["']alternate["'][^>]*hreflang=["']([^"']+)["'][^>]*>"""
-
+from pagewright.functions.fixed import ALTERNATE, ENGLISH_DIRECTIVE, HREFLANG, HTML_LANG, REGIONAL
 
 def _map(values: dict) -> Column:
     return F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in values.items()))
@@ -26,9 +24,6 @@ def _look_up(values: dict, key: Column) -> Column:
     return F.try_element_at(_map(values), key)
 
 
-REGIONAL = {code: code.split("-")[0] for code in fixed.REGIONAL}
-
-
 def normalize_code(code: Column) -> Column:
     """A language code as two letters (or one of the few longer ones): 'und' where that can't be told."""
     c = F.lower(F.trim(code))
@@ -101,26 +96,23 @@ def blend(hint: Column, text: Column, content_lang: Column, content_confidence:
     )
 
 
-ENGLISH_DIRECTIVE = "REQUIREMENT: Write the FAQs in English. If the page content is in a different language, translate the FAQs to English."
+def _filled(text: str, **values: Column) -> Column:
+    """A fixed sentence with its braces filled."""
+    return F.concat(*(values[part[1:-1]] if part.startswith("{") else F.lit(part) for part in re.split(r"(\{\w+\})", text) if part))
 
 
 def directive(code: Column, confidence: Column, script: Column) -> Column:
     name = F.coalesce(_look_up(fixed.LANGUAGE_NAMES, code), F.upper(code))
-    text = F.concat(
-        F.lit("REQUIREMENT: Write the FAQs strictly in "), name, F.lit(" (language code: "), code, F.lit("). Both questions and answers must be in "), name, F.lit(". "),
-        F.when(is_rtl(code), F.concat(F.lit("Note: "), name, F.lit(" is a right-to-left language. "))).otherwise(""),
-        F.when(script.isNotNull() & (script != ""), F.concat(F.lit("Use "), script, F.lit(" script. "))).otherwise(""),
-        F.lit("Generate FAQs in the same language as the page content. The detected language is "), code, F.lit(" with "),
-        F.format_string("%.1f%%", confidence.cast("double") * 100), F.lit(" confidence. You must use "), name, F.lit(" for both questions and answers."),
-    )
+    given = {"name": name, "code": code, "script": script, "confidence": F.format_string("%.1f%%", confidence.cast("double") * 100)}
+    opening, right_to_left, by_script, closing = (_filled(part, **given) for part in fixed.DIRECTIVE)
+    text = F.concat(opening, F.when(is_rtl(code), right_to_left).otherwise(""), F.when(script.isNotNull() & (script != ""), by_script).otherwise(""), closing)
     return F.when((code == "und") | (confidence < 0.5), ENGLISH_DIRECTIVE).otherwise(text)
 
 
 def prompt(markdown: Column, instruction: Column, target: str | None = None) -> Column:
     """What a generator is asked: a target language, if given, overrides the directive."""
     if target:
-        up = target.upper()
-        instruction = F.lit(f"LANGUAGE REQUIREMENT: Generate FAQs in {up} language. Both questions and answers must be in {up}.")
+        instruction = F.lit(fixed.TARGET_DIRECTIVE.format(code=target.upper()))
     return F.concat(F.lit("Summarise the page as 5-10 questions and answers.\n"), instruction, F.lit("\nFormat: markdown, each question a bold heading, its answer a paragraph below.\nMarkdown content:\n\n"), markdown)
 
 
@@ -181,6 +173,51 @@ def train_profiles(texts: DataFrame, lang_col: str, text_col: str, vocabulary: i
     return commonest.select("gram", F.array(*(F.lit(r.lang) for r in totals)).cast("array<string>").alias("langs"), F.array(*logps).cast("array<double>").alias("logps"))
 
 
+#: Common words of languages, the commonest first: what detection knows where no labelled texts are at hand.
+COMMON_WORDS = {
+    "cs": "a se v na je že to s z do o i jako za by po tak ale si jsem co už jen když který nebo aby pro jeho byl od",
+    "da": "og i at det er en til på som for de med den af der har ikke et han jeg vi var men fra du om kan så skal eller",
+    "de": "die der und in zu den das nicht von sie ist des sich mit dem dass er es ein ich auf so eine auch als an nach wie im für",
+    "en": "the of and to in a is that for it as was with be by on not he his but at are this have from or had an they which",
+    "es": "de la que el en y a los se del las un por con no una su para es al lo como más pero sus le ya o este sí",
+    "fi": "ja on ei se että oli hän mutta ovat kuin niin joka myös sen kun minä vain mitä nyt siitä jos sitten voi hänen olla mukaan kanssa tämä",
+    "fr": "de la le et les des en un du une que est pour qui dans a par plus pas au sur ne se ce il sont la avec ou son",
+    "hu": "a az és hogy nem is egy ez meg de volt el csak ha már még mint ki azt vagy kell lesz van minden aki majd után",
+    "it": "di e il la che in un a per è una sono non con si da come le dei nel alla più anche i lo ma al del gli questo",
+    "nl": "de van het een en in is dat op te zijn met voor niet aan er om ook als dan maar bij uit nog worden door naar heeft ze hij",
+    "no": "og i det er på som en til å han av for at med var de ikke den har jeg om et men så seg hun hadde fra vi du",
+    "pl": "w i z na się do nie to że jest o jak a po co tak za od przez ale ma już tylko czy być był dla może te są",
+    "pt": "de a o que e do da em um para é com não uma os no se na por mais as dos como mas foi ao ele das tem à",
+    "ro": "de și în a la cu pe nu că este din o care se un pentru mai sau dar ce am fost prin ca le lui după fi său această",
+    "sv": "och i att det som en på är av för med den till inte ett de har om var jag men han från så vi kan när hade eller",
+    "tr": "bir ve bu da de için ile çok ne daha gibi en o kadar ama sonra var olarak ben olan her mi ya değil diye onun kendi iki",
+}
+
+
+def common_word_profiles(spark: SparkSession, word_weight: int = 1000) -> DataFrame:
+    """Profiles as train_profiles makes them, of COMMON_WORDS alone: a word of rank r counts word_weight / r times.
+
+    Trigrams lie within a word and the blanks around it. Cyrillic, Greek, Arabic, Hebrew and Thai letters are told as one
+    language each, by runs of their commonest letters. Chinese, Japanese and Korean aren't told.
+    """
+    letters = {"ru": "оеаинтсрвл", "el": "αοιετσνρκπ", "ar": "المنويتربه", "he": "יוהלאמתרשנ", "th": "านรอกเงมยล"}
+    counts = {lang: Counter() for lang in sorted({*COMMON_WORDS, *letters})}
+    for lang, words in COMMON_WORDS.items():
+        for rank, word in enumerate(words.split(), 1):
+            for at in range(len(word)):
+                counts[lang][f" {word} "[at : at + 3]] += word_weight // rank
+    for lang, own in letters.items():
+        for a in own:
+            for b in own:
+                for gram in (f" {a}{b}", f"{a}{b} ", *(f"{a}{b}{c}" for c in own)):
+                    counts[lang][gram] += 1
+    grams = sorted({g for c in counts.values() for g in c})
+    totals = {lang: sum(c.values()) + len(grams) for lang, c in counts.items()}
+    rows = [((ord(g[0]) << 42) | (ord(g[1]) << 21) | ord(g[2]), [float(np.log((c[g] + 1) / totals[lang])) for lang, c in counts.items()]) for g in grams]
+    langs = list(counts)
+    return spark.createDataFrame([(k, langs, logps) for k, logps in rows], "gram long, langs array<string>, logps array<double>")
+
+
 def detect(df: DataFrame, id_col: str, text: Column, profiles: DataFrame) -> DataFrame:
     """(id, content_lang, content_confidence, content_source) of each row, over its whole text; nothing is shuffled.
 

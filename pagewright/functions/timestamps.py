@@ -6,7 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pagewright.functions import fixed
-from pagewright.functions.content import JSON_LD, every, first, let, meta, microdata
+from pagewright.functions.content import every, first, let, microdata
+from pagewright.functions.fixed import CONTENT_PATTERNS, JSON_LD, META_PATTERNS, OG_NAMES, PAGE_DATES, VISIBLE, meta
 
 # Formats in order of trial: Spark's pattern, and what must match before it is tried.
 ISO_OFFSET, ISO, SQL_TIME, DAY = "yyyy-M-d'T'H:m:s[XXX][XX]", "yyyy-M-d'T'H:m:s", "yyyy-M-d H:m:s", "yyyy-M-d"
@@ -99,38 +100,6 @@ def is_reasonable(text: Column, as_of: Column) -> Column:
 
 # --- sources, in order of priority ---
 
-OG_NAMES = ("article:modified_time", "og:updated_time", "article:published_time")
-VISIBLE = (
-    r"""<time[^>]*datetime=["']([^"']+)["'][^>]*>""",
-    r"""<span[^>]*class=["'][^"']*date[^"']*["'][^>]*>([^<]+)</span>""",
-    r"""<div[^>]*class=["'][^"']*date[^"']*["'][^>]*>([^<]+)</div>""",
-    r"Updated[^:]*:\s*([^\n\r<]+)",
-    r"Last updated[^:]*:\s*([^\n\r<]+)",
-    r"Modified[^:]*:\s*([^\n\r<]+)",
-)
-META_PATTERNS = (
-    meta("name", "last-modified|lastmod|modified|updated|date"),
-    meta("property", "article:modified_time|og:updated_time"),
-    meta("http-equiv", "last-modified"),
-)
-# Seven label patterns of this source can capture one character only, so no time; they are left out.
-CONTENT_PATTERNS = (
-    *(rf'"{key}":\s*"([^"]+)"' for key in ("dateModified", "lastModified", "updated", "modified")),
-    *VISIBLE[:3],
-    meta("property", "article:modified_time"),
-    meta("name", "modified_date"),
-)
-PAGE_DATES = (
-    (r"\b(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}[+-]\d{2}:\d{2})\b", ISO_OFFSET),
-    (r"\b(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2})\b", ISO_OFFSET),
-    (r"\b(\d{1,2}/\d{1,2}/\d{4})\b", "M/d/yyyy"),
-    (r"\b(\d{4}-\d{2}-\d{2})\b", DAY),
-    (r"\b(May \d{1,2}, \d{4})\b", "MMMM d, yyyy"),
-    (r"\b(May \d{1,2} \d{4})\b", "MMMM d yyyy"),
-    (r"\b(\d{1,2} May \d{4})\b", "d MMMM yyyy"),
-)
-
-
 def schema_time(html: Column, as_of: Column) -> Column:
     """The dateModified of the first JSON-LD object, list item or @graph item that has one (even if it can't be read);
     without any, the microdata's."""
@@ -173,7 +142,7 @@ def _times_of(texts: Column, pattern: str) -> Column:
 
 
 def page_date(html: Column) -> Column:
-    """The latest date written anywhere on a page. Only May is read by name, as the reference formats have it."""
+    """The latest date written anywhere on a page. Of the months, May alone is read by name."""
     return F.array_max(F.concat(*(_times_of(every(html, p), f) for p, f in PAGE_DATES)))
 
 

@@ -6,30 +6,47 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions import urls
+from pagewright.storage import durable
 
 
-def bfs(starts: DataFrame, links: DataFrame, seen: DataFrame | None = None, depth: int = 2, max_pages: int = 50) -> DataFrame:
+def bfs(starts: DataFrame, links: DataFrame, seen: DataFrame | None = None, depth: int = 2, max_pages: int = 50, outcomes: DataFrame | None = None) -> DataFrame:
     """(site, url, depth, rank): pages in the order of a breadth-first crawl, at most max_pages a site.
 
     starts(site, url), links(src, dst, pos). Targets lose their query, must be followable, unblocked and neither media
     nor off the site; those in `seen` are never entered. A page keeps its first place: (depth, parent's rank, position).
+    outcomes(url, outcome) says what a visit gave: 'unchanged' pages stay in the result but their links aren't followed;
+    'failed' ones, whose links nobody has seen, neither count nor stay. Sites of many pages are one task's window a
+    level, of at most the frontier's links.
     """
-    level = starts.select("site", F.col("url"), F.lit(0).alias("depth"), F.lit(0).cast("bigint").alias("parent"), F.lit(0).alias("pos"))
-    order = Window.partitionBy("site").orderBy("depth", "parent", "pos", "url")
-    reached = level.withColumn("rank", F.row_number().over(order).cast("bigint"))
+    visit = None if outcomes is None else outcomes.groupBy("url").agg(F.max("outcome").alias("outcome"))
+    place = ("site", "url", "depth", "parent", "pos")
+    order = Window.partitionBy("site").orderBy("depth", "parent", "pos", "url").rowsBetween(Window.unboundedPreceding, 0)
+
+    def visited(pages: DataFrame) -> DataFrame:
+        return pages.withColumn("outcome", F.lit(None).cast("string")) if visit is None else pages.join(visit, "url", "left")
+
+    def ranked(pages: DataFrame) -> DataFrame:
+        counts = F.when(~F.col("outcome").eqNullSafe("failed"), 1)
+        return pages.withColumn("rank", F.count(counts).over(order)).filter(F.col("rank") <= max_pages)
+
+    first = starts.select("site", F.col("url"), F.lit(0).alias("depth"), F.lit(0).cast("bigint").alias("parent"), F.lit(0).alias("pos"))
+    first = first.filter(~urls.is_media(F.col("url")) & ~urls.is_blocked(F.col("url")))
+    reached = ranked(visited(first))
     target = urls.strip_query(F.col("dst"))
     ok = urls.is_followable(target) & ~urls.is_media(target) & ~urls.is_blocked(target, urls.netloc(F.col("src")))
     edges = links.filter(ok).select("src", target.alias("dst"), F.col("pos").alias("link_pos"))
     for step in range(1, depth + 1):
-        frontier = reached.filter(F.col("depth") == step - 1).select("site", F.col("url").alias("src"), "rank")
+        if step > 2:  # each level reads those before it twice
+            reached = durable(reached)
+        frontier = reached.filter((F.col("depth") == step - 1) & F.col("outcome").isNull()).select("site", F.col("url").alias("src"), "rank")
         found = frontier.join(edges, "src").select("site", F.col("dst").alias("url"), F.lit(step).alias("depth"), F.col("rank").alias("parent"), F.col("link_pos").alias("pos"))
         if seen is not None:
             found = found.join(seen.select("url").distinct(), "url", "left_anti")
         found = found.join(reached.select("site", "url"), ["site", "url"], "left_anti")
         once = Window.partitionBy("site", "url").orderBy("parent", "pos")
-        fresh = found.withColumn("k", F.row_number().over(once)).filter("k = 1").select("site", "url", "depth", "parent", "pos")
-        reached = reached.select("site", "url", "depth", "parent", "pos").unionByName(fresh).withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= max_pages)
-    return reached.select("site", "url", "depth", "rank")
+        fresh = found.withColumn("k", F.row_number().over(once)).filter("k = 1").select(*place)
+        reached = ranked(reached.select(*place, "outcome").unionByName(visited(fresh).select(*place, "outcome")))
+    return reached.filter(~F.col("outcome").eqNullSafe("failed")).select("site", "url", "depth", "rank")
 
 
 def match_sitemap(pages: DataFrame, sitemap: DataFrame) -> DataFrame:

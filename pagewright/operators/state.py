@@ -19,7 +19,7 @@ def content_hash(html: Column) -> Column:
 
 
 def structured_hash(html: Column) -> Column:
-    return F.sha2(F.to_json(content.structured_content(html)), 256)
+    return F.sha2(content.structured_json(html), 256)
 
 
 def identifier(last_modified: Column, etag: Column, content_h: Column, structured_h: Column, fuzzy_h: Column) -> Column:
@@ -28,16 +28,10 @@ def identifier(last_modified: Column, etag: Column, content_h: Column, structure
     return F.concat_ws("|", header("last_modified_header", last_modified), header("etag_header", etag), part("content_hash", content_h), part("structured_hash", structured_h), part("fuzzy_hash", fuzzy_h))
 
 
-def fuzzy_hash(df: DataFrame, id_col: str, text: Column, top: int = 50) -> DataFrame:
-    """(id, fuzzy_hash): the hash of a text's commonest words of over two letters, ties by first place.
-
-    Words are counted before they are ranked, so what is shuffled is a row per text and word.
-    """
-    words = df.select(F.col(id_col), F.posexplode(content.tokens(text)).alias("pos", "word")).filter(F.length("word") > 2)
-    counts = words.groupBy(id_col, "word").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("at"))
-    ranked = counts.withColumn("r", F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc("n"), "at"))).filter(F.col("r") <= top)
-    joined = ranked.groupBy(id_col).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "word"))), lambda x: x["word"]), " ").alias("words"))
-    return df.select(id_col).join(joined, id_col, "left").select(id_col, F.sha2(F.coalesce("words", F.lit("")), 256).alias("fuzzy_hash"))
+def fuzzy_hash(text: Column, top: int = 50) -> Column:
+    """The hash of a text's commonest words of over two letters, ties by first place."""
+    words = F.array_join(F.transform(content.top_words(text, top, by_place=True), lambda x: x["word"]), " ")
+    return F.sha2(F.coalesce(words, F.lit("")), 256)
 
 
 def analyse(pages: DataFrame, as_of: Column) -> DataFrame:
@@ -121,14 +115,29 @@ def has_changed(old: Column, new: Column) -> Column:
     return out.otherwise(False)
 
 
-def should_recrawl(old: dict[str, Column], new: dict[str, Column], flapping: Column, as_of: Column) -> Column:
-    """Ordered rules; the first that applies decides."""
+def differs_much(old: dict[str, Column], new: dict[str, Column], threshold: Column) -> Column:
+    """Whether the fuzzy hashes, both known, differ, and the canonical contents, both known, are less alike than threshold."""
+    some = lambda c: c.isNotNull() & (c != "")
+    asked = some(old["fuzzy_hash"]) & some(new["fuzzy_hash"]) & (old["fuzzy_hash"] != new["fuzzy_hash"])
+    asked = asked & some(old["canonical_content"]) & some(new["canonical_content"])
+    return F.coalesce(F.when(asked, content.jaccard(old["canonical_content"], new["canonical_content"]) < threshold), F.lit(False))
+
+
+def should_recrawl(old: dict[str, Column], new: dict[str, Column], flapping: Column, as_of: Column, threshold: Column | None = None) -> Column:
+    """Ordered rules; the first that applies decides.
+
+    Where old and new have a fuzzy_hash and canonical_content, the site's similarity threshold (0.8 without a history)
+    stands second. Unknown values (null, empty) never decide.
+    """
     crawled, written = timestamps.comparable(old["crawl_timestamp"]), timestamps.comparable(new["last_updated"])
     some = lambda c: c.isNotNull() & (c != "")
     reliable = some(old["last_updated"]) | some(old["last_modified_header"]) | some(old["etag_header"])
     fresh = F.unix_timestamp(as_of) - F.unix_timestamp(crawled) < 24 * 3600
+    known = all("fuzzy_hash" in x and "canonical_content" in x for x in (old, new))
+    unlike = differs_much(old, new, F.coalesce(F.lit(0.8) if threshold is None else threshold, F.lit(0.8))) if known else F.lit(False)
     return (
         F.when(~old["structured_hash"].eqNullSafe(new["structured_hash"]), True)
+        .when(unlike, True)
         .when(flapping, False)
         .when(~old["content_hash"].eqNullSafe(new["content_hash"]), True)
         .when(some(old["last_updated"]) & some(new["last_updated"]) & (old["last_updated"] == new["last_updated"]), False)

@@ -117,7 +117,7 @@ def case_map(values: dict, key: str) -> str:
 def normalize_code(code: str) -> str:
     c = f"lower(trim({code}))"
     primary = f"regexp_extract({c}, '^([^-_]*)', 1)"
-    regional = case_map({x: x.split("-")[0] for x in fixed.REGIONAL}, c)
+    regional = case_map(fixed.REGIONAL, c)
     three = f"coalesce({case_map(fixed.THREE_LETTER, primary)}, 'und')"
     told = rf"CASE WHEN regexp_full_match({primary}, '\p{{L}}{{2}}') THEN {primary} WHEN regexp_full_match({primary}, '\p{{L}}{{3}}') THEN {three} ELSE 'und' END"
     return f"CASE WHEN {code} IS NULL OR {code} = '' THEN 'und' ELSE coalesce({regional}, {told}) END"
@@ -127,7 +127,7 @@ def url_hint(url: str) -> str:
     host = f"lower({netloc(url)})"
     top = case_map(fixed.TOP_LEVEL, rf"regexp_extract({host}, '\.([^.]*)$', 1)")
     label = rf"regexp_extract({host}, '^([^.]*)\.', 1)"
-    return rf"coalesce({top}, CASE WHEN regexp_full_match({label}, '\p{{L}}{{2}}') THEN {normalize_code(label)} END, {case_map({x: x.split('-')[0] for x in fixed.REGIONAL}, label)})"
+    return rf"coalesce({top}, CASE WHEN regexp_full_match({label}, '\p{{L}}{{2}}') THEN {normalize_code(label)} END, {case_map(fixed.REGIONAL, label)})"
 
 
 _STRP = {

@@ -5,16 +5,19 @@ Queries return simple types: lists are joined by '|', doubles rounded to six pla
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions import content, fixed, language, timestamps, urls
-from pagewright.operators import faq, graph, state
+from pagewright.operators import faq, graph, reports, state
 from pagewright.plans import dialect as d
 from pagewright.plans import fixtures as fx
 from pagewright.sources import feeds, markdown, stores
+from pagewright.storage import shared_path
+from pagewright.streaming import stateful
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -100,12 +103,26 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 query("u13_links", f"SELECT page_id, pos, href FROM {_LINKS_SQL}")(lambda s, f: page_links(s, f).select("page_id", "pos", "href"))
-query(
+# Relative links and what becomes of them below https://h.org/d/<page_id>, number by number.
+_RELATIVE = (
+    ("b", "'https://h.org/d/b'"), ("../b?q", "'https://h.org/b?q'"), ("./b/./c", "'https://h.org/d/b/c'"), ("?p=1", "'https://h.org/d/' || page_id || '?p=1'"), ("/x", "'https://h.org/x'"),
+    ("http://o.org/a", "'http://o.org/a'"), ("#t", "NULL"), ("mailto:a@b.c", "NULL"), ("tel:1", "NULL"), ("", "NULL"), ("b/../../c", "'https://h.org/c'"),
+)
+
+
+@query(
     "u6_resolve_href",
     f"""SELECT page_id, pos, CASE WHEN href = '' OR href LIKE '#%' OR href LIKE 'mailto:%' OR href LIKE 'tel:%' THEN NULL
-      WHEN href LIKE '/%' THEN {d.scheme('url')} || '://' || {d.netloc('url')} || href ELSE href END AS resolved
-      FROM {_LINKS_SQL} WHERE href LIKE '/%' OR href LIKE 'http%' OR href LIKE '#%' OR href = ''""",
-)(lambda s, f: page_links(s, f).filter("href LIKE '/%' OR href LIKE 'http%' OR href LIKE '#%' OR href = ''").select("page_id", "pos", urls.resolve(F.col("href"), F.col("url")).alias("resolved")))
+      WHEN href LIKE '/%' THEN {d.scheme('url')} || '://' || {d.netloc('url')} || href ELSE href END AS resolved FROM {_LINKS_SQL} WHERE href LIKE '/%' OR href LIKE 'http%' OR href LIKE '#%' OR href = ''"""
+    + "".join(f" UNION ALL SELECT page_id, {1000 + i}, {want} FROM pages" for i, (_, want) in enumerate(_RELATIVE)),
+)
+def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    written = page_links(spark, sf_dir).filter("href LIKE '/%' OR href LIKE 'http%' OR href LIKE '#%' OR href = ''").select("page_id", "pos", "href", "url")
+    more = raw_pages(spark, sf_dir).select("page_id", F.posexplode(F.array(*(F.lit(h) for h, _ in _RELATIVE))).alias("pos", "href"))
+    more = more.select("page_id", (F.col("pos") + 1000).alias("pos"), "href", F.concat(F.lit("https://h.org/d/"), "page_id").alias("url"))
+    return written.unionByName(more).select("page_id", "pos", urls.resolve(F.col("href"), F.col("url")).alias("resolved"))
+
+
 query("u7_resolve_href_to_root", f"SELECT page_id, pos, {d.scheme('url')} || '://' || {d.netloc('url')} || '/' || regexp_replace(href, '^/+', '') AS resolved FROM {_LINKS_SQL} WHERE href LIKE '/%' AND href NOT LIKE '//%'")(
     lambda s, f: page_links(s, f).filter("href LIKE '/%' AND href NOT LIKE '//%'").select("page_id", "pos", urls.resolve(F.col("href"), F.col("url"), to_root=True).alias("resolved"))
 )
@@ -124,6 +141,11 @@ def _structured(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _JSON_DATE = "json_extract_string(" + d.first("html", content.JSON_LD, 1, "is") + ", '$.dateModified')"
 query("t4_structured_data", f"SELECT page_id, dm AS date_modified, CASE WHEN dm IS NULL THEN 0 ELSE 1 END AS n FROM (SELECT page_id, {_JSON_DATE} AS dm FROM {fx.PAGES} p)")(_structured)
+_MANY_DATES = """'<script type="application/ld+json">[{"dateModified":"early"},{"dateModified":"m' || page_id || '","datePublished":"p","lastModified":"l"}]</script><script type="application/ld+json">{"updated":"u","modified":"o' || page_id || '"}</script>'
+  || '<script type="application/ld+json">{broken</script><span itemprop="dateModified" content="s' || page_id || '"></span><span itemprop="datePublished" content="t"></span>'"""
+query("t4_all_keys", "SELECT page_id, 'json_ld_dateModified=m' || page_id || '|json_ld_datePublished=p|json_ld_lastModified=l|json_ld_modified=o' || page_id || '|json_ld_updated=u|schema_dateModified=s' || page_id || '|schema_datePublished=t' AS dates FROM pages")(
+    lambda s, f: raw_pages(s, f).select("page_id", F.array_join(F.transform(F.array_sort(F.map_entries(content.structured_data(F.expr(_MANY_DATES)))), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "|").alias("dates"))
+)
 _H = lambda level: f"list_transform({d.every('html', rf'<h{level}[^>]*>(.*?)</h{level}>')}, lambda x: trim(x))"
 per_page(
     "t5_stable_elements",
@@ -181,12 +203,20 @@ per_page(
     {"structured": lambda: F.sha2(F.concat_ws("\u0001", content.canonical_content(F.col("html")), F.coalesce(F.try_element_at(content.structured_data(F.col("html")), F.lit("json_ld_dateModified")), F.lit("")), F.coalesce(content.title(F.col("html")), F.lit("")), F.array_join(content.headings(F.col("html")), "|"), F.coalesce(content.first(F.col("html"), content.CANONICAL), F.lit(""))), 256)},
     {"structured": f"sha256({_STRUCT})"},
 )
-query("h2_structured_hash")(lambda s, f: pages(s, f).select("page_id", state.structured_hash(F.col("html")).alias("structured_hash")))
+_JSON = lambda c: f"array_to_string(list_transform(regexp_extract_all(cast(to_json({c}) AS VARCHAR), '(?s).'), lambda c: CASE WHEN unicode(c) > 126 THEN format('\\u{{:04x}}', unicode(c)) ELSE c END), '')"
+_JSONS = lambda items: f"'[' || coalesce(array_to_string(list_transform({items}, lambda v: {_JSON('v')}), ', '), '') || ']'"
+_KEY = lambda key, value: f"CASE WHEN {value} IS NOT NULL THEN '\"{key}\": ' || {_JSON(value)} END"
+_LINK_PAIRS = f"list_zip({d.every('html', content.ARTICLE_LINK, 1)}, {d.every('html', content.ARTICLE_LINK, 2)})"
+_LINK_JSON = "'{\"href\": ' || " + _JSON("x[1]") + " || ', \"text\": ' || " + _JSON("trim(x[2])") + " || '}'"
+_PYTHON_JSON = f"""'{{"canonical_content": ' || {_JSON('canonical')} || ', "listing_content": {{' || concat_ws(', ', '"article_links": [' || array_to_string(list_transform({_LINK_PAIRS}, lambda x: {_LINK_JSON}), ', ') || ']',
+  '"item_ids": ' || {_JSONS(d.every('html', content.DATA_ID))}, {_KEY('page_number', 'page_number')}) || '}}, "stable_elements": {{' || concat_ws(', ', {_KEY('canonical_url', 'canonical_url')},
+  '"headings": ' || {_JSONS(f"list_concat({_H(1)}, {_H(2)})")}, {_KEY('og_url', 'og_url')}, {_KEY('title', 'title')}) || '}}, "structured_data": {{' || concat_ws(', ', {_KEY('json_ld_dateModified', 'dm')}) || '}}}}'"""
+query("h2_structured_hash", f"SELECT page_id, sha256({_PYTHON_JSON}) AS structured_hash FROM (SELECT *, {d.canonical('html')} AS canonical, {d.first('html', content.PAGE_NUMBER)} AS page_number, {d.first('html', content.CANONICAL)} AS canonical_url, {d.first('html', content.OG_URL)} AS og_url, trim({_TITLE}) AS title, {_JSON_DATE} AS dm FROM {fx.PAGES} p)")(lambda s, f: pages(s, f).select("page_id", state.structured_hash(F.col("html")).alias("structured_hash")))
 _FUZZY = f"""(WITH w AS (SELECT doc_id, l[i] AS word, i AS pos FROM (SELECT doc_id, l, unnest(generate_series(1, len(l))) AS i FROM (SELECT doc_id, {d.tokens('text')} AS l FROM documents))),
   c AS (SELECT doc_id, word, count(*) AS n, min(pos) AS place FROM w WHERE length(word) > 2 GROUP BY 1, 2),
   r AS (SELECT doc_id, word, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, place) AS r FROM c)
   SELECT x.doc_id, sha256(coalesce(string_agg(word, ' ' ORDER BY r), '')) AS fuzzy_hash FROM documents x LEFT JOIN (SELECT * FROM r WHERE r <= 50) y ON x.doc_id = y.doc_id GROUP BY x.doc_id)"""
-query("h3_fuzzy_hash", f"SELECT * FROM {_FUZZY}")(lambda s, f: state.fuzzy_hash(table(s, f, "documents").select("doc_id", "text"), "doc_id", F.col("text")))
+query("h3_fuzzy_hash", f"SELECT * FROM {_FUZZY}")(lambda s, f: table(s, f, "documents").select("doc_id", state.fuzzy_hash(F.col("text")).alias("fuzzy_hash")))
 _JACCARD = lambda a, b: f"(SELECT CASE WHEN len(list_distinct(list_concat(x, y))) = 0 THEN 1.0 ELSE round(len(list_intersect(list_distinct(x), list_distinct(y)))::DOUBLE / len(list_distinct(list_concat(x, y))), 6) END FROM (SELECT {d.tokens(a)} AS x, {d.tokens(b)} AS y))"
 
 
@@ -249,26 +279,63 @@ _FEED = "array('2024-01-01T00:00:00Z', 'bad', '2024-0' || cast(page_id % 5 + 1 A
 query("e9_latest_feed_time", f"SELECT page_id, strftime(greatest(TIMESTAMP '2024-01-01', try_strptime('2024-0' || (page_id % 5 + 1) || '-10', '%Y-%m-%d')), '%Y-%m-%d %H:%M:%S') || ' UTC' AS latest, '2024-01-01 00:00:00 UTC' AS first_valid FROM pages")(
     lambda s, f: raw_pages(s, f).select("page_id", _UTC(timestamps.latest_feed_time(F.expr(_FEED), as_of())).alias("latest"), _UTC(timestamps.latest_feed_time(F.expr(_FEED), as_of(), compat=True)).alias("first_valid"))
 )
-query("e3_feed_time")(lambda s, f: _feed_texts(s, f).select("page_id", _UTC(timestamps.latest_feed_time(feeds.feed_times("xml"), as_of())).alias("ts")))
-
-
 def _feed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     atom = "concat('<feed xmlns=\"http://www.w3.org/2005/Atom\"><updated>2024-02-0', page_id % 9 + 1, 'T00:00:00Z</updated><entry><published>2024-01-01T00:00:00Z</published></entry></feed>')"
     rss = "concat('<rss><channel><lastBuildDate>Wed, 21 Feb 2024 10:30:00 GMT</lastBuildDate><item><pubDate>Wed, 0', page_id % 9 + 1, ' May 2024 10:30:00 GMT</pubDate></item></channel></rss>')"
     return raw_pages(spark, sf_dir).selectExpr("page_id", "url", f"CASE page_id % 3 WHEN 0 THEN {atom} WHEN 1 THEN {rss} ELSE '<rss' END AS xml")
 
 
-query("src6_feed_times")(lambda s, f: _feed_texts(s, f).select("page_id", F.array_join(feeds.feed_times("xml"), "|").alias("times")))
-query("src5_feed_urls", f"SELECT page_id, array_to_string(list_transform(['/feed', '/rss.xml', '/atom.xml', '/feed.xml', '/index.xml'], lambda x: {d.scheme('url')} || '://' || {d.netloc('url')} || x), '|') AS feeds FROM {fx.PAGES} p")(
-    lambda s, f: pages(s, f).select("page_id", F.array_join(feeds.feed_urls(F.col("html"), F.col("url")), "|").alias("feeds"))
+_FEED_SQL = "CASE page_id % 3 WHEN 0 THEN '2024-02-0' || (page_id % 9 + 1) || 'T00:00:00Z|2024-01-01T00:00:00Z' WHEN 1 THEN 'Wed, 21 Feb 2024 10:30:00 GMT|Wed, 0' || (page_id % 9 + 1) || ' May 2024 10:30:00 GMT' ELSE '' END"
+query("src6_feed_times", f"SELECT page_id, {_FEED_SQL} AS times FROM pages")(lambda s, f: _feed_texts(s, f).select("page_id", F.array_join(feeds.feed_times("xml"), "|").alias("times")))
+_ORIGIN = f"{d.scheme('url')} || '://' || {d.netloc('url')}"
+_LINKED = """'<link rel="alternate" type="application/rss+xml" href="/f' || cast(page_id AS string) || '.xml">' || html"""
+query("src5_feed_urls", f"SELECT page_id, array_to_string(list_transform(['/f' || page_id || '.xml', '/feed', '/rss.xml', '/atom.xml', '/feed.xml'], lambda x: {_ORIGIN} || x), '|') AS feeds FROM pages")(
+    lambda s, f: _linked_pages(s, f).select("page_id", F.array_join("feeds", "|").alias("feeds"))
 )
 
 
-@query("src4_sitemap")
+def _linked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that name a feed of their own: page_id, url, feeds."""
+    return pages(spark, sf_dir).select("page_id", "url", feeds.feed_urls(F.expr(_LINKED), F.col("url")).alias("feeds"))
+
+
+# A page's own feed is fetched but for every fourth page, and every third can't be read; each host has /rss.xml, and /feed is no feed.
+@query(
+    "e3_feed_time",
+    f"""SELECT page_id, CASE WHEN page_id % 4 = 0 OR page_id % 3 = 2 THEN '2024-03-03 00:00:00 UTC' WHEN page_id % 3 = 0 THEN '2024-02-0' || (page_id % 9 + 1) || ' 00:00:00 UTC' ELSE '2024-05-0' || (page_id % 9 + 1) || ' 10:30:00 UTC' END AS ts,
+      {_ORIGIN} || CASE WHEN page_id % 4 = 0 OR page_id % 3 = 2 THEN '/rss.xml' ELSE '/f' || page_id || '.xml' END AS feed_url FROM pages""",
+)
+def _first_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    origin = F.concat(urls.scheme(F.col("url")), F.lit("://"), urls.netloc(F.col("url")))
+    own = _feed_texts(spark, sf_dir).select(F.concat(origin, F.lit("/f"), "page_id", F.lit(".xml")).alias("url"), F.expr("CASE WHEN page_id % 4 = 0 THEN 404 ELSE 200 END").alias("status"), F.col("xml").alias("body"))
+    hosts = raw_pages(spark, sf_dir).select(origin.alias("o")).distinct()
+    shared = [("/feed", "<html>no feed</html>"), ("/rss.xml", "<rss><channel><item><pubDate>2024-03-03</pubDate></item></channel></rss>"), ("/atom.xml", "<feed><updated>2024-04-04</updated></feed>")]
+    for path, body in shared:
+        own = own.unionByName(hosts.select(F.concat("o", F.lit(path)).alias("url"), F.lit(200).alias("status"), F.lit(body).alias("body")))
+    found = feeds.first_feed_time(_linked_pages(spark, sf_dir), own, as_of())
+    return found.select("page_id", _UTC(F.col("ts")).alias("ts"), "feed_url")
+
+
+# By the length of its origin, a site has a sitemap, one that robots.txt names, or an index.
+_MOD = f"length({_ORIGIN}) % 3"
+
+
+@query("src4_sitemap", f"SELECT {_ORIGIN} || '/' AS base_url, url, CASE {_MOD} WHEN 0 THEN '2024-01-01' WHEN 1 THEN '2024-02-02' ELSE '2024-03-03' END AS lastmod FROM pages")
 def _sitemap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    xml = "concat('<urlset xmlns=\"http://www.sitemaps.org/schemas/sitemap/0.9\"><url><loc>', replace(url, '&', '&amp;'), '</loc><lastmod>2024-01-01</lastmod></url><url><loc>x</loc></url></urlset>')"
-    rows = raw_pages(spark, sf_dir).selectExpr("page_id", f"{xml} AS xml")
-    return rows.select("page_id", F.explode(feeds.sitemap_entries("xml")).alias("e")).select("page_id", "e.loc", "e.lastmod")
+    origin = F.concat(urls.scheme(F.col("url")), F.lit("://"), urls.netloc(F.col("url")))
+    sites = raw_pages(spark, sf_dir).groupBy(origin.alias("o")).agg(F.collect_list(F.replace("url", F.lit("&"), F.lit("&amp;"))).alias("locs")).withColumn("kind", F.length("o") % 3)
+    day = F.element_at(F.array(*(F.lit(x) for x in ("2024-01-01", "2024-02-02", "2024-03-03"))), F.col("kind") + 1)
+    entries = F.array_join(F.transform("locs", lambda u: F.concat(F.lit("<url><loc>"), u, F.lit("</loc><lastmod>"), day, F.lit("</lastmod></url>"))), "")
+    urlset = F.concat(F.lit('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc>undated</loc></url>'), entries, F.lit("</urlset>"))
+    index = F.concat(F.lit("<sitemapindex><sitemap><loc>"), "o", F.lit("/gone.xml</loc></sitemap><sitemap><loc>"), "o", F.lit("/part.xml</loc><lastmod>2020-01-01</lastmod></sitemap></sitemapindex>"))
+    robots = F.concat(F.lit("User-agent: *\nSITEMAP: "), "o", F.lit("/named.xml\nSitemap: "), "o", F.lit("/missing.xml"))
+    served = F.array(
+        F.struct(F.lit("/robots.txt").alias("path"), robots.alias("body")),
+        F.struct(F.element_at(F.array(F.lit("/sitemap.xml"), F.lit("/named.xml"), F.lit("/part.xml")), F.col("kind") + 1).alias("path"), urlset.alias("body")),
+        F.struct(F.when(F.col("kind") == 2, "/sitemap_index.xml").otherwise("/other").alias("path"), index.alias("body")),
+    )
+    fetched = sites.select("o", F.explode(served).alias("s")).select(F.concat("o", "s.path").alias("url"), F.lit(200).alias("status"), "s.body")
+    return feeds.site_sitemap(sites.select(F.concat("o", F.lit("/")).alias("base_url")), fetched)
 
 
 query("src1_pages", "SELECT page_id, url, length(html) AS n FROM pages")(lambda s, f: raw_pages(s, f).select("page_id", "url", F.length("html").alias("n")))
@@ -311,6 +378,12 @@ def _detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("content_confidence", F.round("content_confidence", 6))
 
 
+@query("l4_unlabelled_detection")
+def _detect_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents")
+    return language.detect(rows.select("doc_id", "text"), "doc_id", F.col("text"), language.common_word_profiles(spark)).withColumn("content_confidence", F.round("content_confidence", 6))
+
+
 # For the blend, content detection is a stand-in that both engines can make from page_id.
 _LANG, _CONF = "CASE page_id % 4 WHEN 0 THEN 'fr' WHEN 1 THEN 'und' ELSE 'en' END", "cast(CASE page_id % 3 WHEN 0 THEN 0.95 WHEN 1 THEN 0.6 ELSE 0.7 END AS double)"
 _RAW = "CASE WHEN page_id % 6 = 0 THEN replace(html, 'lang=', 'data-x=') WHEN page_id % 6 = 1 THEN replace(html, 'lang=\"en\"', 'lang=\"zh-TW\"') ELSE html END"
@@ -335,14 +408,30 @@ def _blend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("page_id", "b.lang", F.round("b.confidence", 6).alias("confidence"), "b.source", "b.script_hint")
 
 
+@query("l5_detected_blend")
+def _detected_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hints and content detection of the pages together, without labels."""
+    rows = pages(spark, sf_dir).select("page_id", "url", "html", content.text_content(F.col("html")).alias("text"))
+    told = language.detect(rows, "page_id", F.col("text"), language.common_word_profiles(spark))
+    both = rows.select("page_id", "text", language.hints(F.col("html"), F.col("url")).alias("h")).join(told, "page_id")
+    made = both.select("page_id", language.blend(F.col("h"), F.col("text"), F.col("content_lang"), F.col("content_confidence"), F.col("content_source")).alias("b"))
+    return made.select("page_id", "b.lang", F.round("b.confidence", 6).alias("confidence"), "b.source", "b.is_rtl")
+
+
 query("l6_script_hint", f"SELECT id, CASE WHEN ({d.normalize_code('code')}) = 'zh' THEN {d.case_map(fixed.CHINESE_SCRIPTS, 'lower(code)')} END AS script FROM {fx.CODES_SQL} x")(
     lambda s, f: literal(s, fx.CODES_SQL).select("id", language.script_hint(language.normalize_code(F.col("code")), F.col("code")).alias("script"))
 )
 query("l7_is_rtl", f"SELECT id, lower(code) IN ({', '.join(map(d.q, fixed.RTL))}) AS rtl FROM {fx.CODES_SQL} x")(lambda s, f: literal(s, fx.CODES_SQL).select("id", language.is_rtl(F.lower("code")).alias("rtl")))
 _NAME = f"coalesce({d.case_map(fixed.LANGUAGE_NAMES, 'lang')}, upper(lang))"
-_L8 = f"""CASE WHEN lang = 'und' OR c < 0.5 THEN {d.q(language.ENGLISH_DIRECTIVE)} ELSE 'REQUIREMENT: Write the FAQs strictly in ' || {_NAME} || ' (language code: ' || lang || '). Both questions and answers must be in ' || {_NAME} || '. '
-  || CASE WHEN lang IN ({', '.join(map(d.q, fixed.RTL))}) THEN 'Note: ' || {_NAME} || ' is a right-to-left language. ' ELSE '' END || CASE WHEN script IS NOT NULL THEN 'Use ' || script || ' script. ' ELSE '' END
-  || 'Generate FAQs in the same language as the page content. The detected language is ' || lang || ' with ' || printf('%.1f', c * 100) || '% confidence. You must use ' || {_NAME} || ' for both questions and answers.' END"""
+
+
+def _filled(sentence: str) -> str:
+    given = {"{name}": _NAME, "{code}": "lang", "{script}": "script", "{confidence}": "printf('%.1f', c * 100) || '%'"}
+    return " || ".join(given.get(part) or d.q(part) for part in re.split(r"(\{\w+\})", sentence) if part)
+
+
+_L8 = f"""CASE WHEN lang = 'und' OR c < 0.5 THEN {d.q(fixed.ENGLISH_DIRECTIVE)} ELSE {_filled(fixed.DIRECTIVE[0])} || CASE WHEN lang IN ({', '.join(map(d.q, fixed.RTL))}) THEN {_filled(fixed.DIRECTIVE[1])} ELSE '' END
+  || CASE WHEN script IS NOT NULL THEN {_filled(fixed.DIRECTIVE[2])} ELSE '' END || {_filled(fixed.DIRECTIVE[3])} END"""
 _L8_ROWS = f"(SELECT id, {d.normalize_code('code')} AS lang, CASE WHEN ({d.normalize_code('code')}) = 'zh' THEN {d.case_map(fixed.CHINESE_SCRIPTS, 'lower(code)')} END AS script, CASE WHEN id % 3 = 0 THEN 0.25::DOUBLE ELSE 0.875::DOUBLE END AS c FROM {fx.CODES_SQL} x)"
 
 
@@ -355,7 +444,7 @@ query("l8_directive", f"SELECT id, {_L8} AS directive FROM {_L8_ROWS}")(lambda s
 query("l9_language_info", f"SELECT id, lang, {_NAME} AS name FROM {_L8_ROWS}")(
     lambda s, f: literal(s, fx.CODES_SQL).select("id", language.normalize_code(F.col("code")).alias("lang")).select("id", "lang", F.coalesce(language._look_up(fixed.LANGUAGE_NAMES, F.col("lang")), F.upper("lang")).alias("name"))
 )
-query("l10_prompt", f"SELECT page_id, 'Summarise the page as 5-10 questions and answers.' || chr(10) || 'LANGUAGE REQUIREMENT: Generate FAQs in FR language. Both questions and answers must be in FR.' || chr(10) || 'Format: markdown, each question a bold heading, its answer a paragraph below.' || chr(10) || 'Markdown content:' || chr(10) || chr(10) || text AS prompt FROM {_DOCS_SQL}")(
+query("l10_prompt", f"SELECT page_id, 'Summarise the page as 5-10 questions and answers.' || chr(10) || {d.q(fixed.TARGET_DIRECTIVE.format(code='FR'))} || chr(10) || 'Format: markdown, each question a bold heading, its answer a paragraph below.' || chr(10) || 'Markdown content:' || chr(10) || chr(10) || text AS prompt FROM {_DOCS_SQL}")(
     lambda s, f: documents_of(s, f).select("page_id", language.prompt(F.col("text"), F.lit(""), "fr").alias("prompt"))
 )
 
@@ -417,13 +506,62 @@ def _should_recrawl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _states(spark, sf_dir).select("page_id", state.should_recrawl(old, new, F.col("flapping"), as_of()).alias("recrawl"))
 
 
-@query("c4_two_phase", f"SELECT n.page_id, CASE WHEN known IS NOT NULL AND content_type LIKE 'text/html%' AND last_modified_header = last_modified AND etag_header = etag THEN 'lightweight' WHEN content_type NOT LIKE 'text/html%' AND known IS NOT NULL THEN 'non_html' ELSE 'deep' END AS phase, CASE WHEN known IS NOT NULL AND content_type LIKE 'text/html%' AND last_modified_header = last_modified AND etag_header = etag THEN o.content_hash ELSE new_content END AS content_hash FROM {_NEW_SQL} n LEFT JOIN {_OLD_SQL} o ON n.url = o.url")
+# The recrawl decision case by case: what differs from a page that stays as it is, and the decision.
+_STAYS = {"structured_hash": "'s'", "content_hash": "'c'", "fuzzy_hash": "'f'", "canonical_content": "'a b'", "last_updated": "NULL", "last_modified_header": "NULL", "etag_header": "NULL", "crawl_timestamp": "'2024-05-31 20:00:00 UTC'"}
+_ALIKE, _LESS = ("'a b c d e f g h i j'", "'k j i h g f e d c b a'"), ("'a b c d e'", "'a b c d f'")
+_CASES = (
+    ({}, {"structured_hash": "'t'"}, {"flapping": "true"}, True),
+    ({"canonical_content": _LESS[0]}, {"fuzzy_hash": "'g'", "canonical_content": _LESS[1]}, {"flapping": "true"}, True),
+    ({"canonical_content": _ALIKE[0]}, {"fuzzy_hash": "'g'", "canonical_content": _ALIKE[1]}, {"flapping": "true"}, False),
+    ({"canonical_content": _LESS[0]}, {"fuzzy_hash": "'g'", "canonical_content": _LESS[1]}, {"flapping": "true", "threshold": "0.6D"}, False),
+    ({"canonical_content": _ALIKE[0]}, {"fuzzy_hash": "'g'", "canonical_content": _ALIKE[1]}, {"flapping": "true", "threshold": "0.95D"}, True),
+    ({"canonical_content": "''"}, {"fuzzy_hash": "'g'", "canonical_content": _LESS[1]}, {}, False),
+    ({"fuzzy_hash": "NULL", "canonical_content": _LESS[0]}, {"canonical_content": _LESS[1]}, {}, False),
+    ({}, {"content_hash": "'d'"}, {}, True),
+    ({}, {"content_hash": "'d'"}, {"flapping": "true"}, False),
+    ({"last_updated": "'2024-05-31 22:00:00 UTC'"}, {"last_updated": "'2024-05-31 22:00:00 UTC'"}, {}, False),
+    ({"last_modified_header": "'Mon'"}, {"last_modified_header": "'Mon'"}, {}, False),
+    ({"last_modified_header": "''"}, {"last_modified_header": "''"}, {}, False),
+    ({"etag_header": "'e'"}, {"etag_header": "'e'"}, {}, False),
+    ({"etag_header": "'e'"}, {"etag_header": "'x'"}, {}, True),
+    ({"last_updated": "'2024-01-01 00:00:00 UTC'"}, {"last_updated": "'2024-05-01 00:00:00 UTC'"}, {}, False),
+    ({"last_updated": "'2024-01-01 00:00:00 UTC'"}, {"last_updated": "'2024-05-31 23:00:00 UTC'"}, {}, True),
+    ({}, {}, {}, False),
+    ({"crawl_timestamp": "'2024-05-01 00:00:00 UTC'"}, {}, {}, True),
+    ({"crawl_timestamp": "NULL"}, {}, {}, True),
+    ({"structured_hash": "NULL"}, {"structured_hash": "NULL"}, {}, False),
+)
+
+
+@query("c3_decisions", f"SELECT page_id, CASE page_id % {len(_CASES)} " + " ".join(f"WHEN {i} THEN {str(case[3]).lower()}" for i, case in enumerate(_CASES)) + " END AS recrawl FROM pages")
+def _decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def chosen(side: int, name: str, usual: str) -> Column:
+        given = {i: case[side][name] for i, case in enumerate(_CASES) if name in case[side]}
+        return F.expr(f"CASE page_id % {len(_CASES)} " + "".join(f"WHEN {i} THEN {v} " for i, v in given.items()) + f"ELSE {usual} END" if given else usual)
+
+    old, new = ({k: chosen(side, k, v).cast("string") for k, v in _STAYS.items()} for side in (0, 1))
+    decided = state.should_recrawl(old, new, chosen(2, "flapping", "false"), as_of(), chosen(2, "threshold", "NULL").cast("double"))
+    return raw_pages(spark, sf_dir).select("page_id", decided.alias("recrawl"))
+
+
+_REASONS = f"""(SELECT n.url, n.content_type, o.content_hash, CASE WHEN known IS NULL THEN 'no_previous_data' WHEN content_type NOT LIKE 'text/html%' THEN 'non_html_content' WHEN last_modified_header = last_modified AND etag_header = etag THEN 'headers_unchanged'
+  WHEN status = 304 THEN 'not_modified' WHEN feed_time > {_CRAWLED} THEN 'rss_newer_than_crawl' WHEN floor({_SECONDS} / 86400) > 7 THEN 'old_crawl' ELSE 'default_check_needed' END AS reason FROM {_NEW_SQL} n LEFT JOIN {_OLD_SQL} o ON n.url = o.url)"""
+
+
+@query(
+    "c4_two_phase",
+    f"""SELECT r.url, reason, CASE WHEN reason IN ('headers_unchanged', 'not_modified') THEN 'lightweight' WHEN content_type NOT LIKE 'text/html%' THEN 'non_html' ELSE 'deep' END AS phase,
+      CASE WHEN reason IN ('headers_unchanged', 'not_modified') THEN r.content_hash WHEN content_type NOT LIKE 'text/html%' THEN sha256(html) ELSE sha256({d.clean('html')}) END AS content_hash,
+      CASE WHEN reason IN ('headers_unchanged', 'not_modified') OR content_type NOT LIKE 'text/html%' THEN 0 ELSE 4 END AS identifier_parts FROM {_REASONS} r JOIN {fx.PAGES} p ON p.url = r.url""",
+)
 def _two_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _states(spark, sf_dir)
-    html = F.col("content_type").startswith("text/html")
-    light = F.coalesce(F.col("known").isNotNull() & html & (F.col("last_modified_header") == F.col("last_modified")) & (F.col("etag_header") == F.col("etag")), F.lit(False))
-    phase = F.when(light, "lightweight").when(~html & F.col("known").isNotNull(), "non_html").otherwise("deep")
-    return rows.select("page_id", phase.alias("phase"), F.when(light, F.col("content_hash")).otherwise(F.col("new_content")).alias("content_hash"))
+    raw_pages(spark, sf_dir).select("page_id", "url").createOrReplaceTempView("pages")
+    states = spark.sql(f"SELECT *, 'cached' AS timestamp_source, cast(NULL AS string) AS identifier FROM {_OLD_SQL} o").drop("page_id", "known")
+    signals = spark.sql(f"SELECT url, content_type, last_modified, etag, status, feed_time FROM {_NEW_SQL} n")
+    bodies = pages(spark, sf_dir).select("url", "html", F.encode("html", "UTF-8").alias("body"))
+    found = reports.two_phase(signals, states, bodies, as_of())
+    headers = F.when(F.col("identifier").isNull(), 0).otherwise(F.size(F.filter(F.split("identifier", r"\|"), lambda p: ~p.startswith("last_modified_header"))))
+    return found.select("url", "reason", "phase", "content_hash", headers.alias("identifier_parts"))
 
 
 per_url("c6_recrawl_hours", {"hours": lambda: state.recrawl_hours(F.col("url"))}, {"hours": f"coalesce(CASE {d.netloc('url')} {' '.join(f"WHEN '{k}' THEN {v}" for k, v in fixed.RECRAWL_HOURS.items())} END, 12)"})
@@ -461,9 +599,8 @@ query("w4_top_words", f"WITH w AS (SELECT doc_id, unnest({d.tokens('text')}) AS
 
 
 def _top_words(spark: SparkSession, sf_dir: str, top: int = 50) -> DataFrame:
-    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(content.tokens(F.col("text"))).alias("word")).filter(F.length("word") > 2)
-    counts = words.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "word"))).filter(F.col("r") <= top).select("doc_id", "word", "n")
+    found = table(spark, sf_dir, "documents").select("doc_id", F.explode(content.top_words(F.col("text"), top, by_place=False)).alias("w"))
+    return found.select("doc_id", "w.word", "w.n")
 
 
 query("w5_latest_row", "SELECT user_id, arg_max(event_type, (ts, event_id)) AS hash, max(ts)::VARCHAR AS ts FROM events GROUP BY user_id")(
@@ -535,12 +672,22 @@ query("s6_identifier_time", "SELECT page_id, '2024-01-0' || (page_id % 9 + 1) AS
 _ESC = lambda c: f"replace(replace(replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')"
 per_page("s7_escape_html", {"escaped": lambda: content.escape_html(F.col("html"))}, {"escaped": _ESC("html")})
 query("s8_render_faqs", f"SELECT conv_id, string_agg('<div class=\"faq\"><h3>' || {_ESC('question')} || '</h3><p>' || {_ESC('answer')} || '</p></div>', '' ORDER BY pos) AS html FROM {_CONV} c GROUP BY conv_id")(lambda s, f: faq.render(conversation_faqs(s, f), "conv_id"))
-query("s9_safe_xml")(lambda s, f: _feed_texts(s, f).select("page_id", F.size(feeds.feed_times("xml")).alias("n")))
+query("s9_safe_xml", "SELECT page_id, CASE page_id % 3 WHEN 2 THEN 0 ELSE 2 END AS n FROM pages")(lambda s, f: _feed_texts(s, f).select("page_id", F.size(feeds.feed_times("xml")).alias("n")))
 query("s10_reliability", f"SELECT n.page_id, CASE WHEN last_updated IS NOT NULL THEN 'high' ELSE 'unknown' END AS reliability FROM {_NEW_SQL} n LEFT JOIN {_OLD_SQL} o ON n.url = o.url")(
     lambda s, f: _states(s, f).select("page_id", F.when(F.col("last_updated").isNotNull() & (F.col("last_updated") != ""), "high").otherwise("unknown").alias("reliability"))
 )
 query("snk2_documents", f"SELECT doc_key, text FROM {_DOCS_SQL}")(lambda s, f: documents_of(s, f).select("doc_key", "text"))
-query("snk4_json_ld")(lambda s, f: faq.json_ld(conversation_faqs(s, f), "conv_id"))
+_PLAIN_JSON = lambda c: f"cast(to_json({c}) AS VARCHAR)"
+
+
+@query("snk2_written_documents", f"SELECT doc_key, prefix, text FROM {_DOCS_SQL}")
+def _written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "documents")
+    stores.write_documents(documents_of(spark, sf_dir).select("doc_key", "url", "text"), path)
+    return spark.read.schema("doc_key string, text string, prefix string").parquet(path).select("doc_key", "prefix", "text")
+
+
+query("snk4_json_ld", f"""SELECT conv_id, '{{"@context":"https://schema.org","@type":"FAQPage","mainEntity":[' || string_agg('{{"@type":"Question","name":' || {_PLAIN_JSON('question')} || ',"acceptedAnswer":{{"@type":"Answer","text":' || {_PLAIN_JSON('answer')} || '}}}}', ',' ORDER BY pos) || ']}}' AS json FROM {_VALID} WHERE n <= 10 GROUP BY conv_id""")(lambda s, f: faq.json_ld(conversation_faqs(s, f), "conv_id"))
 query("a5_ordered_answers", "SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS answers FROM conversations WHERE role = 'assistant' GROUP BY conv_id")(
     lambda s, f: table(s, f, "conversations").filter("role = 'assistant'").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), " ").alias("answers"))
 )
@@ -592,6 +739,68 @@ query("j7_site_faqs", f"SELECT * FROM {_SITE}")(lambda s, f: faq.site_faqs(site_
 query("snk3_site_report", f"SELECT p.host, p.pages, coalesce(q.faqs, 0) AS faqs FROM (SELECT {d.netloc('url')} AS host, count(*) AS pages FROM pages GROUP BY 1) p LEFT JOIN (SELECT {d.netloc('source_url')} AS host, count(*) AS faqs FROM {_SITE} GROUP BY 1) q ON p.host = q.host")(
     lambda s, f: faq.per_domain(raw_pages(s, f), faq.site_faqs(site_documents(s, f), "text"))
 )
+# Requests for pages: every ninth is forced, every tenth page is unknown, every tenth has a legacy state.
+_TOLD = "'2024-01-0' || (page_id % 9 + 1)"
+_JUST = "page_id % 9 = 0 OR page_id % 10 = 9"
+
+
+@query(
+    "snk3_last_updated",
+    f"""SELECT *, CASE WHEN last_updated IS NULL THEN 'unknown' ELSE 'high' END AS timestamp_reliability FROM (SELECT url, {_JUST} AS just_crawled,
+      CASE WHEN {_JUST} THEN CASE WHEN page_id % 4 > 0 THEN '2024-05-05' END WHEN page_id % 10 = 8 THEN {_TOLD} WHEN page_id % 6 = 0 THEN '2024-01-01 00:00:00 UTC' END AS last_updated,
+      CASE WHEN {_JUST} THEN 'og' WHEN page_id % 10 = 8 THEN 'legacy' ELSE 'schema' END AS timestamp_source,
+      CASE WHEN NOT ({_JUST}) AND page_id % 10 <> 8 THEN '2024-05-31 20:00:00 UTC' END AS crawl_timestamp FROM pages)""",
+)
+def _last_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = raw_pages(spark, sf_dir).select("page_id", "url")
+    legacy = F.when(F.col("page_id") % 10 == 8, F.expr(_LEGACY))
+    modern = lambda c: F.when(F.col("page_id") % 10 != 8, c)
+    states = rows.filter("page_id % 10 <> 9").select("url", modern(F.expr("CASE WHEN page_id % 6 = 0 THEN '2024-01-01 00:00:00 UTC' END")).alias("last_updated"), modern(F.lit("schema")).alias("timestamp_source"), modern(F.lit("2024-05-31 20:00:00 UTC")).alias("crawl_timestamp"), legacy.alias("legacy"))
+    fresh = rows.select("url", F.expr("CASE WHEN page_id % 4 > 0 THEN '2024-05-05' END").alias("last_updated"), F.lit("og").alias("timestamp_source"))
+    return reports.last_update(rows.select("url", (F.col("page_id") % 9 == 0).alias("force")), states, fresh)
+
+
+# Pages of even number are known, every third has a document, every fifth has markdown.
+_KNOWN = "page_id % 2 = 0"
+_TEXTS = f"(SELECT doc_key, min(prefix) AS prefix, arg_min(question, text) AS question, arg_min(answer, text) AS answer FROM {_DOCS_SQL} WHERE page_id % 3 = 0 GROUP BY doc_key)"
+
+
+@query(
+    "snk3_page_answers",
+    f"""WITH w AS (SELECT page_id, url, {d.doc_key('url')} AS doc_key, {d.prefix('url')} AS prefix FROM pages),
+      f AS (SELECT w.*, CASE WHEN {_KNOWN} THEN coalesce(o.doc_key, a.any_key) END AS found FROM w LEFT JOIN {_TEXTS} o ON o.doc_key = w.doc_key LEFT JOIN (SELECT prefix, min(doc_key) AS any_key FROM {_TEXTS} GROUP BY prefix) a ON a.prefix = w.prefix),
+      m AS (SELECT doc_key, arg_min(question, url) AS question, arg_min(answer, url) AS answer FROM {_DOCS_SQL} WHERE page_id IN (SELECT page_id FROM f WHERE found IS NULL) GROUP BY doc_key),
+      t AS (SELECT f.url, coalesce(found, f.doc_key) AS faq_file, found IS NULL AS faq_generated, NOT ({_KNOWN}) OR (found IS NULL AND f.doc_key NOT IN (SELECT {d.doc_key('url')} FROM pages WHERE page_id % 5 = 0)) AS just_crawled,
+        CASE WHEN found IS NULL THEN m.question ELSE x.question END AS q, CASE WHEN found IS NULL THEN m.answer ELSE x.answer END AS a FROM f LEFT JOIN m ON m.doc_key = f.doc_key LEFT JOIN {_TEXTS} x ON x.doc_key = f.found)
+      SELECT url, faq_file, faq_generated, just_crawled, CASE WHEN trim(q) <> '' AND trim(a) <> '' THEN regexp_replace(replace('**' || q || '**', '# ', ''), '^[*]+|[*]+$', '', 'g') || '>' || trim(a) ELSE '' END AS faqs FROM t""",
+)
+def _page_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pages(spark, sf_dir).select("page_id", "url", "html", F.expr(_KNOWN).alias("known"))
+    markdown_keys = raw_pages(spark, sf_dir).filter("page_id % 5 = 0").select(urls.doc_key(F.col("url")).alias("doc_key"))
+    found = reports.page_answers(rows.select("url", "html", "known"), documents_of(spark, sf_dir, True), markdown_keys)
+    return found.select("url", "faq_file", "faq_generated", "just_crawled", F.array_join(F.transform("faqs", lambda x: F.concat(x["question"], F.lit(">"), x["answer"])), "|").alias("faqs"))
+
+
+_FEW = f"(SELECT * FROM {_DOCS_SQL} WHERE page_id % 40 = 0)"
+
+
+@query(
+    "snk3_site_answers",
+    f"""WITH k AS (SELECT url, {d.netloc('url')} AS domain, {d.doc_key('url')} AS doc_key, {d.prefix('url')} AS prefix FROM pages), h AS (SELECT DISTINCT domain, prefix FROM k),
+      l AS (SELECT * FROM k WHERE NOT {d.is_media('url')} AND NOT {d.is_blocked('url')} AND doc_key NOT IN (SELECT doc_key FROM {_FEW}) AND prefix NOT IN (SELECT prefix FROM {_FEW})),
+      g AS (SELECT doc_key, min(url) AS url FROM l GROUP BY doc_key),
+      e AS (SELECT doc_key, prefix, question, answer FROM {_FEW} UNION ALL SELECT x.doc_key, x.prefix, x.question, x.answer FROM {_DOCS_SQL} x JOIN g ON g.url = x.url),
+      n AS (SELECT prefix, count(*) FILTER (WHERE trim(question) <> '' AND trim(answer) <> '') AS pairs FROM e GROUP BY prefix)
+      SELECT h.domain, coalesce((SELECT count(*) FROM g WHERE {d.netloc('g.url')} = h.domain), 0) AS generated_now, (SELECT count(*) FROM k WHERE k.domain = h.domain) AS total_pages, coalesce(pairs, 0) AS pairs FROM h LEFT JOIN n ON n.prefix = h.prefix""",
+)
+def _site_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pages(spark, sf_dir)
+    few = documents_of(spark, sf_dir).filter("page_id % 40 = 0")
+    none = rows.select(F.lit("").alias("doc_key")).limit(0)
+    found = reports.site_answers(rows.select(F.col("url").alias("base_url")), rows.select("url"), few, none, rows.select("url", "html"))
+    return found.groupBy("domain", "generated_now", "total_pages").agg(F.count("question").alias("pairs"))
+
+
 query("a1_word_counts", f"SELECT word, count(*) AS n FROM (SELECT unnest({d.tokens('text')}) AS word FROM documents) GROUP BY word")(
     lambda s, f: table(s, f, "documents").select(F.explode(content.tokens(F.col("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 )
@@ -616,11 +825,35 @@ def ranked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
       SELECT host AS site, url, depth FROM (SELECT * FROM l0 UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l2)""",
 )
 def _bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, links = _ranked_links(spark, sf_dir)
+    return graph.bfs(k.filter("r = 0").select(F.col("host").alias("site"), "url"), links).select("site", "url", "depth")
+
+
+def _ranked_links(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     k = ranked_pages(spark, sf_dir)
     steps = k.select(F.col("url").alias("src"), "host", F.explode(F.array(*(F.col("r") * 2 + i for i in (1, 2, 3)))).alias("to"), (F.col("r") * 2).alias("base"))
     target = k.select("host", F.col("r").alias("to"), F.col("url").alias("dst"))
-    links = steps.join(target, ["host", "to"]).select("src", "dst", (F.col("to") - F.col("base")).cast("int").alias("pos"))
-    return graph.bfs(k.filter("r = 0").select(F.col("host").alias("site"), "url"), links).select("site", "url", "depth")
+    return k, steps.join(target, ["host", "to"]).select("src", "dst", (F.col("to") - F.col("base")).cast("int").alias("pos"))
+
+
+# By rank, some pages come back unchanged and some fail: neither leads further, and the latter aren't in the result.
+_OUTCOME = "CASE WHEN r % 5 = 2 THEN 'unchanged' WHEN r % 7 = 3 THEN 'failed' END"
+
+
+@query(
+    "g1_gated_bfs",
+    f"""WITH k AS (SELECT *, {_OUTCOME} AS outcome FROM {_RANKED}), e AS (SELECT a.host, a.url AS src, b.url AS dst FROM k a JOIN k b ON a.host = b.host AND b.r BETWEEN 2 * a.r + 1 AND 2 * a.r + 3
+        WHERE a.outcome IS NULL AND NOT {d.is_media('b.url')} AND NOT {d.is_blocked('b.url')}),
+      l0 AS (SELECT host, url, 0 AS depth FROM k WHERE r = 0),
+      l1 AS (SELECT DISTINCT l0.host, dst AS url, 1 AS depth FROM l0 JOIN e ON e.src = l0.url AND e.host = l0.host WHERE dst NOT IN (SELECT url FROM l0)),
+      l2 AS (SELECT DISTINCT l1.host, dst AS url, 2 AS depth FROM l1 JOIN e ON e.src = l1.url AND e.host = l1.host WHERE dst NOT IN (SELECT url FROM l0 UNION ALL SELECT url FROM l1)),
+      l3 AS (SELECT DISTINCT l2.host, dst AS url, 3 AS depth FROM l2 JOIN e ON e.src = l2.url AND e.host = l2.host WHERE dst NOT IN (SELECT url FROM l0 UNION ALL SELECT url FROM l1 UNION ALL SELECT url FROM l2))
+      SELECT host AS site, url, depth FROM (SELECT * FROM l0 UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3) WHERE url NOT IN (SELECT url FROM k WHERE outcome = 'failed')""",
+)
+def _gated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, links = _ranked_links(spark, sf_dir)
+    outcomes = k.select("url", F.expr(_OUTCOME).alias("outcome")).filter("outcome is not null")
+    return graph.bfs(k.filter("r = 0").select(F.col("host").alias("site"), "url"), links, depth=3, outcomes=outcomes).select("site", "url", "depth")
 
 
 per_page("x1_token_sets", {"both": lambda: F.size(F.array_intersect(content.tokens(F.col("html")), content.tokens(F.col("url")))), "either": lambda: F.size(F.array_union(content.tokens(F.col("html")), content.tokens(F.col("url"))))}, {"both": f"len(list_intersect(list_distinct({d.tokens('html')}), list_distinct({d.tokens('url')})))::INT", "either": f"len(list_distinct(list_concat({d.tokens('html')}, {d.tokens('url')})))::INT"})
@@ -628,9 +861,23 @@ per_page("x1_token_sets", {"both": lambda: F.size(F.array_intersect(content.toke
 
 @query("st1_history_stream", "SELECT event_id, user_id, recency FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS recency FROM events) WHERE recency <= 5")
 def _history_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pagewright.streaming import history as stream
+    return stateful.recent_history(_events_stream(spark, sf_dir))
+
+
+def _events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stateful.event_stream(spark, f"{sf_dir}/events.parquet")
 
-    return stream.replay_recent(spark, f"{sf_dir}/events.parquet")
+
+query("st2_changed_stream", "SELECT user_id, event_id FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) WHERE event_type IS DISTINCT FROM before")(
+    lambda s, f: stateful.replay(_events_stream(s, f), stateful.SkipUnchanged()).select("user_id", "event_id")
+)
+query("st3_stale_stream", "SELECT user_id, max(ts)::VARCHAR AS last FROM events GROUP BY user_id HAVING max(ts) + INTERVAL 1 DAY < (SELECT max(ts) FROM events)")(
+    lambda s, f: stateful.replay(_events_stream(s, f).withWatermark("ts", "0 seconds"), stateful.Stale(days=1), "eventTime").select("user_id", F.col("last").cast("string").alias("last"))
+)
+query(
+    "st4_cache_stream",
+    "SELECT user_id, event_id, coalesce(epoch_us(ts) - epoch_us(stored) < 3600000000, false) AS hit FROM (SELECT *, max(CASE WHEN event_type = 'signup' THEN ts END) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS stored FROM events) WHERE event_type <> 'signup'",
+)(lambda s, f: stateful.replay(_events_stream(s, f), stateful.TimedCache("signup")).select("user_id", "event_id", "hit"))
 
 
 @query("st2_skip_unchanged", f"SELECT n.page_id FROM {_NEW_SQL} n LEFT JOIN {_OLD_SQL} o ON n.url = o.url WHERE NOT coalesce(last_modified_header = last_modified AND etag_header = etag, false)")

@@ -57,7 +57,9 @@ def analyse_bodies(bodies: DataFrame, id_col: str, as_of: Column) -> DataFrame:
     Only bodies of text, JSON or XML have a fuzzy hash; the time is the header's, where it is a reasonable one.
     """
     readable = F.coalesce(F.lower("content_type").rlike("^(text/|application/json|application/xml)"), F.lit(False))
-    fuzzy = state.fuzzy_hash(bodies.filter(readable).select(id_col, F.decode("body", "UTF-8").alias("text")), id_col, F.col("text"))
+    fuzzy = F.when(readable, state.fuzzy_hash(F.decode("body", "UTF-8")))
     at = timestamps.normalize(F.col("last_modified"), as_of)
-    hashed = bodies.select(id_col, F.sha2("body", 256).alias("content_hash"), timestamps.utc_text(at).alias("last_updated"), F.when(at.isNotNull(), "http_header").otherwise("none").alias("timestamp_source"))
-    return hashed.join(fuzzy, id_col, "left").select(id_col, "content_hash", "fuzzy_hash", "last_updated", "timestamp_source")
+    return bodies.select(
+        id_col, F.sha2("body", 256).alias("content_hash"), fuzzy.alias("fuzzy_hash"), timestamps.utc_text(at).alias("last_updated"),
+        F.when(at.isNotNull(), "http_header").otherwise("none").alias("timestamp_source"),
+    )

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from pagewright.functions import content, language, timestamps, urls
 from pagewright.operators import faq, graph, state
 from pagewright.sources import feeds, markdown, stores
-from pagewright.streaming import history
 
 
 def one(spark, column):
@@ -128,7 +127,9 @@ def test_feeds_and_sitemaps():
     rss = "<rss><channel><lastBuildDate>l</lastBuildDate><item><pubDate>a</pubDate></item><item><date>b</date></item></channel></rss>"
     assert feeds.feed_times_of(atom) == ["u", "p"] and feeds.feed_times_of(rss) == ["l", "a", "b"]
     assert feeds.feed_times_of("<bad") == feeds.feed_times_of(None) == []
-    assert feeds.sitemap_of("<urlset><url><loc>a</loc><lastmod>1</lastmod></url><url><loc>b</loc></url></urlset>") == [("a", "1")]
+    assert feeds.sitemap_of("<urlset><url><loc>a</loc><lastmod>1</lastmod></url><url><loc>b</loc></url></urlset>") == [("url", "a", "1")]
+    assert feeds.sitemap_of("<sitemapindex><sitemap><loc>m</loc></sitemap><url><loc>a</loc><lastmod>1</lastmod></url></sitemapindex>") == [("sitemap", "m", "")]
+    assert feeds.sitemap_of("<html") == feeds.sitemap_of(None) == []
 
 
 def test_markdown():
@@ -151,15 +152,6 @@ def test_state_round_trip(spark, tmp_path):
     assert stores.read_bodies(spark, str(tmp_path / "s.json")).first().length > 0
 
 
-def test_stream_equals_batch(spark):
-    path = "/root/testdata/sf0.001/events.parquet"
-    rows = spark.read.parquet(path).select("event_id", "user_id", F.col("event_type").alias("hash"), F.col("ts").cast("timestamp").alias("ts"))
-    batch = state.recent_history(rows, "user_id", ["ts", "event_id"]).select("event_id", "user_id", "recency")
-    assert sorted(history.replay_recent(spark, path).collect()) == sorted(batch.collect())
-    halves = history.merge_recent(history.merge_recent(None, rows.filter("event_id % 2 = 0"), "user_id", ["ts", "event_id"]), rows.filter("event_id % 2 = 1"), "user_id", ["ts", "event_id"])
-    assert sorted(r.event_id for r in halves.collect()) == sorted(r.event_id for r in batch.collect())
-
-
 def test_directive(spark):
     assert one(spark, language.directive(F.lit("und"), F.lit(0.9), F.lit(None).cast("string"))) == language.ENGLISH_DIRECTIVE
     text = one(spark, language.directive(F.lit("he"), F.lit(0.875), F.lit(None).cast("string")))

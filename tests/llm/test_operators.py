@@ -337,7 +337,7 @@ def test_neighbours_recall_ties_and_odd_vectors(spark):
     rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
     odd_rows = [(900, None), (920, [0.0] * 16), (940, [float("nan")] * 16), (960, [None] + [1.0] * 15), (None, [1.0] * 16), (980, [1.0] * 3), (40, vectors[40].tolist())]
     df = spark.createDataFrame([(*r, 1) for r in rows + odd_rows], "vec_id long, embedding array<double>, rank int")
-    small = ann.Probing(part_rows=150, block_rows=8)
+    small = ann.Probing(part_rows=150, block_rows=8, small=20, sample=30)
     found = ann.nearest(df, df.filter("vec_id % 20 = 0"), k=20, probing=small).collect()
     by_query = {}
     for r in sorted(found, key=lambda r: r["rank"]):

@@ -275,6 +275,20 @@ def _last_updated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", _UTC(F.col("u")["ts"]).alias("ts"), F.col("u")["source"].alias("source"))
 
 
+# Every third page has a feed's time, every fifth a header's.
+_K = "page_id % 8"
+_ALL_TS = f"CASE WHEN {_K} < 2 THEN {_E0} WHEN page_id % 3 = 0 THEN TIMESTAMP '2024-04-04' WHEN {_K} < 5 THEN {_E0} WHEN page_id % 5 = 0 THEN TIMESTAMP '2024-04-03 10:00:00' ELSE {_E0} END"
+_ALL_SOURCES = f"CASE WHEN {_K} < 2 THEN {_SOURCES} WHEN page_id % 3 = 0 THEN 'rss_or_atom' WHEN {_K} < 5 THEN {_SOURCES} WHEN page_id % 5 = 0 THEN 'http_header' ELSE {_SOURCES} END"
+
+
+@query("e0_all_sources", f"SELECT page_id, {d.utc_text(_ALL_TS)} AS ts, {_ALL_SOURCES} AS source FROM pages")
+def _all_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    feed = F.expr("CASE WHEN page_id % 3 = 0 THEN timestamp '2024-04-04' END")
+    header = F.expr("CASE WHEN page_id % 5 = 0 THEN 'Wed, 03 Apr 2024 10:00:00 GMT' END")
+    found = pages(spark, sf_dir).select("page_id", timestamps.last_updated(F.col("html"), as_of(), feed, header).alias("u"))
+    return found.select("page_id", _UTC(F.col("u")["ts"]).alias("ts"), F.col("u")["source"].alias("source"))
+
+
 _FEED = "array('2024-01-01T00:00:00Z', 'bad', '2024-0' || cast(page_id % 5 + 1 AS string) || '-10')"
 query("e9_latest_feed_time", f"SELECT page_id, strftime(greatest(TIMESTAMP '2024-01-01', try_strptime('2024-0' || (page_id % 5 + 1) || '-10', '%Y-%m-%d')), '%Y-%m-%d %H:%M:%S') || ' UTC' AS latest, '2024-01-01 00:00:00 UTC' AS first_valid FROM pages")(
     lambda s, f: raw_pages(s, f).select("page_id", _UTC(timestamps.latest_feed_time(F.expr(_FEED), as_of())).alias("latest"), _UTC(timestamps.latest_feed_time(F.expr(_FEED), as_of(), compat=True)).alias("first_valid"))

@@ -136,3 +136,24 @@ def site_answers(sites: DataFrame, states: DataFrame, documents: DataFrame, mark
     pairs = faq.site_faqs(every, "text").join(every.select("doc_key", "prefix").distinct(), "doc_key")
     out = hosts.join(totals, "domain", "left").join(counted, "domain", "left").join(pairs, "prefix", "left")
     return out.select("domain", F.coalesce("generated_now", F.lit(0)).alias("generated_now"), F.coalesce("total_pages", F.lit(0)).alias("total_pages"), "question", "answer", "source_url")
+
+
+def retried(attempts: DataFrame, tries: int = 3, delay: float = 2.0, timeout: float = 8.0) -> DataFrame:
+    """(url, outcome, attempts, waited) of a client that asks again: attempts(url, n, seconds, faqs, refreshed, faq_file, just_crawled, faq_generated, message).
+
+    n counts from 1; faqs is the number of pairs, null after an error; an answer that takes over `timeout` seconds is one.
+    Pairs are 'shown'; without any, a page whose file is there is asked once more, 'refreshed' if that gives some; one
+    that isn't being generated has 'none'. Else the client waits `delay` seconds and tries again, until `tries` are used:
+    'failed' after an error, 'exhausted' otherwise.
+    """
+    error = F.col("faqs").isNull() | (F.coalesce("seconds", F.lit(0.0)) > timeout)
+    pending = _some(F.col("faq_file")) | F.coalesce("just_crawled", F.lit(False)) | F.coalesce("faq_generated", F.lit(False)) | F.coalesce(F.col("message").contains("generating"), F.lit(False))
+    outcome = (
+        F.when(~error & (F.col("faqs") > 0), "shown")
+        .when(~error & ~pending, "none")
+        .when(~error & _some(F.col("faq_file")) & (F.coalesce("refreshed", F.lit(0)) > 0), "refreshed")
+        .when(F.col("n") >= tries, F.when(error, "failed").otherwise("exhausted"))
+    )
+    ended = attempts.filter(F.col("n") <= tries).withColumn("outcome", outcome).filter("outcome is not null")
+    first = ended.groupBy("url").agg(F.min_by("outcome", "n").alias("outcome"), F.min("n").alias("attempts"))
+    return first.select("url", "outcome", "attempts", ((F.col("attempts") - 1) * F.lit(delay)).alias("waited"))

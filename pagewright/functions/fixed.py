@@ -189,3 +189,5 @@ DIRECTIVE = (
     "Generate FAQs in the same language as the page content. The detected language is {code} with {confidence} confidence. You must use {name} for both questions and answers.",
 )
 TARGET_DIRECTIVE = "LANGUAGE REQUIREMENT: Generate FAQs in {code} language. Both questions and answers must be in {code}."
+# Fixed value: what is told where a page has no document and none could be made.
+NO_DOCUMENT = "No FAQ file found for this URL and could not generate one"

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.functions import content, timestamps, urls
+from pagewright.functions import content, fixed, timestamps, urls
 from pagewright.operators import faq, state
 from pagewright.sources import stores
 
@@ -114,9 +114,8 @@ def page_answers(pages: DataFrame, documents: DataFrame, markdown: DataFrame, ge
     texts = marked.join(made, "doc_key", "left").join(stored, "found_key", "left").withColumn("text", F.when(F.col("faq_generated"), F.col("new_text")).otherwise(F.col("old_text")))
     shown = faq.segment(texts, "url", "text").join(texts.select("url", content.markdown_url(F.col("text")).alias("source_url")), "url")
     answers = texts.join(_gathered(shown, "url"), "url", "left")
-    none = F.lit("No FAQ file found for this URL and could not generate one")
     file = F.when(F.col("text").isNotNull(), F.coalesce("found_key", "doc_key"))
-    return answers.select("url", file.alias("faq_file"), F.coalesce("faqs", F.expr("cast(array() as array<struct<question:string,answer:string,source_url:string>>)")).alias("faqs"), "just_crawled", "faq_generated", F.when(F.col("text").isNull(), none).alias("message"))
+    return answers.select("url", file.alias("faq_file"), F.coalesce("faqs", F.expr("cast(array() as array<struct<question:string,answer:string,source_url:string>>)")).alias("faqs"), "just_crawled", "faq_generated", F.when(F.col("text").isNull(), fixed.NO_DOCUMENT).alias("message"))
 
 
 def site_answers(sites: DataFrame, states: DataFrame, documents: DataFrame, markdown: DataFrame, pages: DataFrame, generator: Generator = extractive_generator) -> DataFrame:

@@ -91,8 +91,8 @@ per_url(
     {"skipped": f"({_KIND}) IN ('image', 'media', 'font', 'stylesheet') OR {d.is_media('url')} OR {d.is_blocked('url')} OR ({d.plain(d.netloc('url'))} <> 'example.com' AND ({_KIND}) IN ('xhr', 'fetch'))"},
 )
 per_url("u10_doc_key", {"doc_key": lambda: urls.doc_key(F.col("url"))}, {"doc_key": d.doc_key("url")})
-per_page("u11_canonical_url", {"canonical": lambda: content.canonical_url(F.col("html"), F.col("url"))}, {"canonical": f"coalesce({d.first('html', content.CANONICAL)}, {d.first('html', content.OG_URL)}, url)"})
-per_page("u12_is_listing", {"listing": lambda: content.is_listing(F.col("html"))}, {"listing": "(" + " OR ".join(d.has("html", content.listing_pattern(*c)) for c in fixed.LISTING_CLASSES) + ")"})
+per_page("u11_canonical_url", {"canonical": lambda: content.canonical_url(F.col("html"), F.col("url"))}, {"canonical": "CASE page_id % 8 WHEN 6 THEN 'https://example.org/c/' || page_id ELSE url END"}, sql_source="pages")
+per_page("u12_is_listing", {"listing": lambda: content.is_listing(F.col("html"))}, {"listing": "page_id % 8 = 6"}, sql_source="pages")
 
 _LINK = r"""<a\b[^>]*\bhref=["']([^"']*)"""
 _LINKS_SQL = f"(SELECT page_id, url, i AS pos, l[i] AS href FROM (SELECT page_id, url, l, unnest(generate_series(1, len(l))) AS i FROM (SELECT page_id, url, {d.every('html', _LINK)} AS l FROM {fx.PAGES} p)))"
@@ -140,7 +140,7 @@ def _structured(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _JSON_DATE = "json_extract_string(" + d.first("html", content.JSON_LD, 1, "is") + ", '$.dateModified')"
-query("t4_structured_data", f"SELECT page_id, dm AS date_modified, CASE WHEN dm IS NULL THEN 0 ELSE 1 END AS n FROM (SELECT page_id, {_JSON_DATE} AS dm FROM {fx.PAGES} p)")(_structured)
+query("t4_structured_data", "SELECT page_id, CASE page_id % 8 WHEN 0 THEN strftime(date '2024-01-01' + CAST(page_id % 120 AS INT), '%Y-%m-%d') || 'T10:00:00Z' END AS date_modified, CASE page_id % 8 WHEN 0 THEN 1 ELSE 0 END AS n FROM pages")(_structured)
 _MANY_DATES = """'<script type="application/ld+json">[{"dateModified":"early"},{"dateModified":"m' || page_id || '","datePublished":"p","lastModified":"l"}]</script><script type="application/ld+json">{"updated":"u","modified":"o' || page_id || '"}</script>'
   || '<script type="application/ld+json">{broken</script><span itemprop="dateModified" content="s' || page_id || '"></span><span itemprop="datePublished" content="t"></span>'"""
 query("t4_all_keys", "SELECT page_id, 'json_ld_dateModified=m' || page_id || '|json_ld_datePublished=p|json_ld_lastModified=l|json_ld_modified=o' || page_id || '|json_ld_updated=u|schema_dateModified=s' || page_id || '|schema_datePublished=t' AS dates FROM pages")(
@@ -159,11 +159,8 @@ per_page(
         "item_ids": lambda: F.array_join(content.every(F.col("html"), content.DATA_ID), "|"),
         "page_number": lambda: content.first(F.col("html"), content.PAGE_NUMBER),
     },
-    {
-        "links": f"array_to_string(list_transform(list_zip({d.every('html', content.ARTICLE_LINK, 1)}, {d.every('html', content.ARTICLE_LINK, 2)}), lambda x: x[1] || '>' || trim(x[2])), '|')",
-        "item_ids": f"array_to_string({d.every('html', content.DATA_ID)}, '|')",
-        "page_number": d.first("html", content.PAGE_NUMBER),
-    },
+    {"links": "CASE WHEN page_id % 8 = 6 THEN '/article/7>seven' ELSE '' END", "item_ids": "CASE WHEN page_id % 8 = 6 THEN 'i' || page_id ELSE '' END", "page_number": "CASE WHEN page_id % 8 = 6 THEN '3' END"},
+    sql_source="pages",
 )
 per_page("t7_text_content", {"content": lambda: content.text_content(F.col("html"))}, {"content": d.text_content("html")})
 _T8 = (r"<[^>]+>", r"https?://\S+", r"\S+@\S+", r"\s+", r"\b\d+\b", r"[^\p{L}\p{N}_\s.,!?;:()'\"-]")
@@ -243,27 +240,22 @@ query("p1_comparable", f"SELECT id, {d.utc_text(d.comparable('t'))} AS compared
 query("p2_is_reasonable", f"SELECT id, coalesce({d.reasonable(d.comparable('t'), fx.AS_OF)}, false) AS reasonable FROM {fx.TIMES_SQL} x")(lambda s, f: literal(s, fx.TIMES_SQL).select("id", timestamps.is_reasonable(F.col("t"), as_of()).alias("reasonable")))
 query("e8_relative_time", f"SELECT id, {d.utc_text(d.relative('t', fx.AS_OF))} AS ago FROM {fx.TIMES_SQL} x")(lambda s, f: literal(s, fx.TIMES_SQL).select("id", _UTC(timestamps.relative_time(F.col("t"), as_of())).alias("ago")))
 
-_E1 = d.normalize(_JSON_DATE, fx.AS_OF)
-_E2 = "coalesce(" + ", ".join(d.normalize(d.first("html", content.meta("property", n)), fx.AS_OF) for n in timestamps.OG_NAMES) + ")"
-_E4 = "coalesce(" + ", ".join(d.normalize(d.first("html", p), fx.AS_OF) for p in timestamps.VISIBLE) + ")"
-_E5 = "coalesce(" + ", ".join(d.first_reasonable(d.first("html", p), timestamps.META_FORMATS, fx.AS_OF) for p in timestamps.META_PATTERNS) + ")"
-_E7 = "list_max([" + ", ".join(f"list_max(list_transform({d.every('html', p)}, lambda x: {d.parsed('x', f)}))" for p, f in timestamps.PAGE_DATES) + "])"
+# What the decorations put into each page is known, so these oracles say it without the patterns that find it.
+_K = "page_id % 8"
+_DAY = "CAST(date '2024-01-01' + CAST(page_id % 120 AS INT) AS TIMESTAMP)"
 for _name, _f, _sql in (
-    ("e1_schema_time", timestamps.schema_time, _E1),
-    ("e2_og_time", timestamps.og_time, _E2),
-    ("e4_visible_time", timestamps.visible_time, _E4),
-    ("e5_meta_time", timestamps.meta_time, _E5),
+    ("e1_schema_time", timestamps.schema_time, f"CASE {_K} WHEN 0 THEN {_DAY} + INTERVAL 10 HOUR END"),
+    ("e2_og_time", timestamps.og_time, f"CASE {_K} WHEN 1 THEN {_DAY} + INTERVAL 8 HOUR END"),
+    ("e4_visible_time", timestamps.visible_time, f"CASE {_K} WHEN 2 THEN {_DAY} END"),
+    ("e5_meta_time", timestamps.meta_time, f"CASE {_K} WHEN 1 THEN {_DAY} + INTERVAL 8 HOUR WHEN 3 THEN {_DAY} + INTERVAL 510 MINUTE END"),
 ):
-    per_page(_name, {"ts": lambda f=_f: _UTC(f(F.col("html"), as_of()))}, {"ts": d.utc_text(_sql)})
+    per_page(_name, {"ts": lambda f=_f: _UTC(f(F.col("html"), as_of()))}, {"ts": d.utc_text(_sql)}, sql_source="pages")
 _E6 = "CASE page_id % 8 WHEN 0 THEN day + INTERVAL 10 HOUR WHEN 1 THEN day + INTERVAL 8 HOUR WHEN 2 THEN day WHEN 4 THEN ago END"
 query("e6_content_time", f"SELECT page_id, {d.utc_text(_E6)} AS ts FROM (SELECT page_id, CAST(date '2024-01-01' + CAST(page_id % 120 AS INT) AS TIMESTAMP) AS day, TIMESTAMP '{fx.AS_OF}' - to_days(CAST(page_id % 30 AS INT)) AS ago FROM pages)")(
     lambda s, f: pages(s, f).select("page_id", _UTC(timestamps.content_time(F.col("html"), as_of())).alias("ts"))
 )
-per_page("e7_page_date", {"ts": lambda: _UTC(timestamps.page_date(F.col("html")))}, {"ts": d.utc_text(_E7)})
-
-
-# What the decorations put into each page is known, so these two oracles say it without the cascade's own patterns.
-_DAY = "CAST(date '2024-01-01' + CAST(page_id % 120 AS INT) AS TIMESTAMP)"
+_E7 = f"CASE {_K} WHEN 1 THEN {_DAY} + INTERVAL 10 HOUR WHEN 2 THEN {_DAY} WHEN 3 THEN {_DAY} WHEN 5 THEN {_DAY} END"
+per_page("e7_page_date", {"ts": lambda: _UTC(timestamps.page_date(F.col("html")))}, {"ts": d.utc_text(_E7)}, sql_source="pages")
 _AGO = f"TIMESTAMP '{fx.AS_OF}' - to_days(CAST(page_id % 30 AS INT))"
 _E0 = f"CASE page_id % 8 WHEN 0 THEN {_DAY} + INTERVAL 10 HOUR WHEN 1 THEN {_DAY} + INTERVAL 8 HOUR WHEN 2 THEN {_DAY} WHEN 3 THEN {_DAY} + INTERVAL 510 MINUTE WHEN 4 THEN {_AGO} WHEN 5 THEN {_DAY} END"
 _SOURCES = "CASE page_id % 8 WHEN 0 THEN 'schema' WHEN 1 THEN 'og' WHEN 2 THEN 'visible' WHEN 3 THEN 'meta_tag' WHEN 4 THEN 'content_extraction' WHEN 5 THEN 'page_date_extraction' ELSE 'none' END"
@@ -276,7 +268,6 @@ def _last_updated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Every third page has a feed's time, every fifth a header's.
-_K = "page_id % 8"
 _ALL_TS = f"CASE WHEN {_K} < 2 THEN {_E0} WHEN page_id % 3 = 0 THEN TIMESTAMP '2024-04-04' WHEN {_K} < 5 THEN {_E0} WHEN page_id % 5 = 0 THEN TIMESTAMP '2024-04-03 10:00:00' ELSE {_E0} END"
 _ALL_SOURCES = f"CASE WHEN {_K} < 2 THEN {_SOURCES} WHEN page_id % 3 = 0 THEN 'rss_or_atom' WHEN {_K} < 5 THEN {_SOURCES} WHEN page_id % 5 = 0 THEN 'http_header' ELSE {_SOURCES} END"
 

@@ -847,7 +847,7 @@ _OUTCOME = "CASE WHEN r % 5 = 2 THEN 'unchanged' WHEN r % 7 = 3 THEN 'failed' EN
 
 @query(
     "g1_gated_bfs",
-    f"""WITH k AS (SELECT *, {_OUTCOME} AS outcome FROM {_RANKED}), e AS (SELECT a.host, a.url AS src, b.url AS dst FROM k a JOIN k b ON a.host = b.host AND b.r BETWEEN 2 * a.r + 1 AND 2 * a.r + 3
+    f"""WITH k AS (SELECT *, max({_OUTCOME}) OVER (PARTITION BY url) AS outcome FROM {_RANKED}), e AS (SELECT a.host, a.url AS src, b.url AS dst FROM k a JOIN k b ON a.host = b.host AND b.r BETWEEN 2 * a.r + 1 AND 2 * a.r + 3
         WHERE a.outcome IS NULL AND NOT {d.is_media('b.url')} AND NOT {d.is_blocked('b.url')}),
       l0 AS (SELECT host, url, 0 AS depth FROM k WHERE r = 0),
       l1 AS (SELECT DISTINCT l0.host, dst AS url, 1 AS depth FROM l0 JOIN e ON e.src = l0.url AND e.host = l0.host WHERE dst NOT IN (SELECT url FROM l0)),

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import durable, in_slices, text_or_empty
+from pagewright.llm.common import bit_filter, durable, in_slices, passing, relieved, text_or_empty
 
 #: 1: the token counts, 0: it is ignored. Three faults among 16 tokens, four among 20 or five among 25 leave one of these
 #: masks whole, wherever they lie.
@@ -24,8 +24,6 @@ FAULT = round(MIN_SHARE / (1 - MIN_SHARE))
 MIN_ITEM = 5
 #: A benchmark of up to so many tokens is held by every task; of a larger one the seeds are shuffled and joined.
 HELD_TOKENS = 1 << 20
-#: Bits of the filter that keeps a large benchmark's absent seeds out of the shuffle; it grows no further.
-FILTER_BITS = 1 << 27
 #: Pairs of equal seeds that are listed at once; where there are more, an item's diagonals are all looked at.
 PAIRS = 1 << 20
 
@@ -300,7 +298,7 @@ def _searcher(held):
                 columns = [list(c) for c in zip(*out, strict=True)] or [[]] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
-    return run
+    return relieved(run)
 
 
 def _keeper(held, text_col: str):
@@ -311,7 +309,7 @@ def _keeper(held, text_col: str):
                 keep[[k for k, _ in _leaking(held.value, pc.fill_null(cut.column(text_col).cast(pa.string()), ""))]] = False
                 yield cut.filter(pa.array(keep))
 
-    return run
+    return relieved(run)
 
 
 # --- a benchmark that is too large to be held ---
@@ -350,8 +348,7 @@ def _document_seeds(texts: DataFrame, held) -> DataFrame:
                 rows: list[np.ndarray] = [np.empty((4, 0), np.int64)]
                 for k in range(cut.num_rows):
                     for kind, seeds, places in _seeds_of(tokens[starts[k] : starts[k + 1]], item=False):
-                        bit = seeds % np.uint64(FILTER_BITS)
-                        through = np.flatnonzero(held.value[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1))
+                        through = passing(held.value, seeds)
                         rows.append(np.stack((np.full(len(through), k), np.full(len(through), kind), seeds[through].view(np.int64), places[through])))
                 own, kind, seed, place = np.concatenate(rows, axis=1)
                 keys = [cut.column(c).take(pa.array(own)) for c in ("k1", "k2")]
@@ -375,15 +372,6 @@ def _benchmark_seeds(items: DataFrame) -> DataFrame:
     return items.select("item", "tokens").mapInArrow(run, "item long, item_tokens long, kind int, seed long, place long")
 
 
-def _filter_of(seeds: DataFrame) -> np.ndarray:
-    """A bit for each seed, by its hash; at most FILTER_BITS / 64 words reach the driver."""
-    words = seeds.select(F.col("seed").bitwiseAND(FILTER_BITS - 1).alias("at")).select(F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, cast(at % 64 as int))").alias("bit"))
-    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    held = np.zeros(FILTER_BITS >> 6, np.uint64)
-    held[np.asarray(found.column("word"))] = np.asarray(found.column("bits")).view(np.uint64)
-    return held
-
-
 def seed_leaks(texts: DataFrame, items: DataFrame) -> DataFrame:
     """k1, k2, item_id, matched, at_token, span, share for each distinct text and item that overlap, by a join of seeds.
 
@@ -395,7 +383,7 @@ def seed_leaks(texts: DataFrame, items: DataFrame) -> DataFrame:
     numbered = durable(items.groupBy("tokens").agg(F.collect_set("item_id").alias("names")).withColumn("item", F.xxhash64("tokens", F.size("tokens"))))
     item_seeds = durable(_benchmark_seeds(numbered))
     distinct = durable(texts.select(*_key(F.col("text")), "text").dropDuplicates(["k1", "k2"]))
-    doc_seeds = _document_seeds(distinct, spark.sparkContext.broadcast(_filter_of(item_seeds)))
+    doc_seeds = _document_seeds(distinct, spark.sparkContext.broadcast(bit_filter(item_seeds, "seed")))
     met = doc_seeds.withColumnRenamed("place", "at").join(item_seeds, ["kind", "seed"])
     diagonals = met.select("k1", "k2", "item", "item_tokens", (F.col("at") - F.col("place")).alias("shift")).distinct()
     asked = diagonals.groupBy("k1", "k2").agg(F.collect_list(F.struct("item", "item_tokens", "shift")).alias("asked"))

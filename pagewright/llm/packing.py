@@ -11,12 +11,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import in_slices, text_or_empty
+from pagewright.llm.common import in_slices, relieved, text_or_empty
 from pagewright.llm.tokens import encoder, vocabulary_path
 
 WINDOW = 2048
 #: Open windows that a lane holds before they are closed by cutting; bounds its memory to this many windows of ids.
 MAX_OPEN = 4096
+#: Words that the encoder remembers here; a lane holds its windows as well.
+KEPT_WORDS = 300_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -124,7 +126,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = 1, window
     path = vocabulary or vocabulary_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, lane = encoder(path), TaskContext.get().partitionId() << 32
+        coder, lane = encoder(path, KEPT_WORDS), TaskContext.get().partitionId() << 32
         rows, made = [], [0]
 
         def emit(pieces: list) -> None:
@@ -144,7 +146,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = 1, window
 
         packer = Packer(emit, window, max_open)
         for batch in batches:
-            for cut in in_slices(batch, "text"):
+            for cut in in_slices(batch, "text", max_bytes=4 << 20):
                 ids, starts = coder.encode(cut.column("text"))
                 for k, doc in enumerate(cut.column("doc_id").to_pylist()):
                     packer.add(doc, np.append(ids[starts[k] : starts[k + 1]], np.uint32(end_id)))
@@ -154,7 +156,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = 1, window
         yield drained()
 
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return texts.mapInArrow(run, PIECES)
+    return texts.mapInArrow(relieved(run), PIECES)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,11 +11,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.llm import boosting
-from pagewright.llm.common import in_slices, text_or_empty
+from pagewright.llm.common import in_slices, relieved, text_or_empty
 
 #: Labelled rows that the trees are fitted on: those of the least hashes of their ids.
 SAMPLE_ROWS = 20_000
 THRESHOLD = 0.7
+#: Texts whose features are counted together: enough for numpy, and little memory for the workers that go on to other stages.
+SLICE_BYTES = 1 << 19
 
 FEATURES = (
     "log_bytes", "log_words", "mean_word", "upper_share", "digit_share", "mark_share", "space_share", "wide_share",
@@ -162,11 +164,11 @@ def with_statistics(rows: DataFrame, keep: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for cut in in_slices(batch, "text"):
+            for cut in in_slices(batch, "text", max_bytes=SLICE_BYTES):
                 found = pa.array(list(statistics(cut.column("text"))), pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays([cut.column(keep), found], names=[keep, "features"])
 
-    return rows.select(keep, "text").mapInArrow(run, f"{keep} {kind}, features array<double>")
+    return rows.select(keep, "text").mapInArrow(relieved(run), f"{keep} {kind}, features array<double>")
 
 
 def id_remainder(doc_id: Column, modulus: int) -> Column:
@@ -204,11 +206,11 @@ def score(docs: DataFrame, forest: boosting.Forest, id_col: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for cut in in_slices(batch, "text"):
+            for cut in in_slices(batch, "text", max_bytes=SLICE_BYTES):
                 found = forest.predict(statistics(cut.column("text")))
                 yield pa.RecordBatch.from_arrays([cut.column("doc_id"), pa.array(found)], names=["doc_id", "score"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(relieved(run), "doc_id long, score double")
 
 
 def keep_good(docs: DataFrame, forest: boosting.Forest, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -219,10 +221,10 @@ def keep_good(docs: DataFrame, forest: boosting.Forest, text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for cut in in_slices(batch, text_col):
+            for cut in in_slices(batch, text_col, max_bytes=SLICE_BYTES):
                 yield cut.filter(pa.array(forest.predict(statistics(cut.column(text_col))) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(relieved(run), docs.schema)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import re
 
@@ -11,6 +10,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
+#: Distinct words that an encoder remembers.
+KEPT = 600_000
 
 
 def vocabulary_path(name: str = DEFAULT_VOCABULARY) -> str:
@@ -33,7 +34,7 @@ class Encoder:
     _NOT_LOWERED = r"<\||\p{M}"  # a special token's string may lie in it, or letters that compose
     _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
-    def __init__(self, path: str, kept: int = 600_000):
+    def __init__(self, path: str, kept: int = KEPT):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -101,9 +102,9 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, kept: int = KEPT) -> Encoder:
     """The encoder of this process for a vocabulary file; Python workers are used again, and so is what it has learned."""
     if path not in _ENCODERS:
-        gc.disable()  # a worker's memory of words is large and free of cycles
         _ENCODERS[path] = Encoder(path)
+    _ENCODERS[path].kept = kept
     return _ENCODERS[path]

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import in_slices, text_or_empty
+from pagewright.llm.common import in_slices, relieved, text_or_empty
 from pagewright.llm.tokens import encoder, vocabulary_path
 from pagewright.storage import shared_path
 
@@ -78,36 +78,43 @@ class WaveletMatrix:
             at += 16 + 16 * blocks
             self.planes.append((zeros, ranks, ends, at))
             at += int(ends[-1]) if blocks else 0
-        self._cache: dict[tuple[int, int], np.ndarray] = {}
+        self._cache: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
 
-    def _block(self, plane: int, block: int) -> np.ndarray:
+    def _block(self, plane: int, block: int) -> tuple[np.ndarray, np.ndarray]:
+        """A block's bits, and the ones before each of its bytes: a rank reads one of these and at most seven bits."""
         if (plane, block) not in self._cache:
             if len(self._cache) >= 64:
                 self._cache.clear()
             _, _, ends, at = self.planes[plane]
             begin = at + (int(ends[block - 1]) if block else 0)
             raw = zstandard.decompress(self.image[begin : at + int(ends[block])])
-            self._cache[plane, block] = np.unpackbits(np.frombuffer(raw, np.uint8), bitorder="little")
+            packed = np.frombuffer(raw, np.uint8)
+            before = np.concatenate(([0], np.cumsum(np.bitwise_count(packed), dtype=np.int64)))
+            self._cache[plane, block] = np.unpackbits(packed, bitorder="little"), before
         return self._cache[plane, block]
 
     def _bit(self, plane: int, i: int) -> int:
-        return int(self._block(plane, i // BLOCK_BITS)[i % BLOCK_BITS])
+        return int(self._block(plane, i // BLOCK_BITS)[0][i % BLOCK_BITS])
 
     def _rank1(self, plane: int, i: int) -> int:
         """Ones among the first i bits of a plane."""
         zeros, ranks, _, _ = self.planes[plane]
         if i >= self.n:
             return self.n - zeros
-        block = i // BLOCK_BITS
-        return int(ranks[block]) + int(self._block(plane, block)[: i % BLOCK_BITS].sum())
+        block, at = i // BLOCK_BITS, i % BLOCK_BITS
+        bits, before = self._block(plane, block)
+        return int(ranks[block]) + int(before[at // 8]) + int(bits[at - at % 8 : at].sum())
 
     def _select(self, plane: int, k: int, bit: int) -> int:
         """Where the k-th (from 0) one or zero of a plane stands."""
         _, ranks, _, _ = self.planes[plane]
         before = ranks if bit else np.arange(len(ranks)) * BLOCK_BITS - ranks
         block = int(np.searchsorted(before, k, side="right")) - 1
-        bits = self._block(plane, block)[: min(BLOCK_BITS, self.n - block * BLOCK_BITS)]
-        return block * BLOCK_BITS + int(np.flatnonzero(bits == bit)[k - int(before[block])])
+        rest = k - int(before[block])
+        bits, ones = self._block(plane, block)
+        held = ones if bit else np.arange(len(ones)) * 8 - ones
+        byte = int(np.searchsorted(held, rest, side="right")) - 1
+        return block * BLOCK_BITS + 8 * byte + int(np.flatnonzero(bits[8 * byte : 8 * byte + 8] == bit)[rest - int(held[byte])])
 
     def access(self, i: int) -> int:
         if not 0 <= i < self.n:
@@ -201,7 +208,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end_
 
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_or_empty(text_col).alias("text"))
     ordered = texts.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(run, SHARDS).write.parquet(path)
+    ordered.mapInArrow(relieved(run), SHARDS).write.parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:

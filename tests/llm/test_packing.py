@@ -45,3 +45,14 @@ def test_full_lanes_are_settled_by_cutting():
         assert packer.count < 5 and packer.count == packer.level.sum()
     packer.close()
     assert sum(len(ids) for pieces in emitted for _, _, ids, _ in pieces) == 200 * 33
+
+
+def test_wavelet_look_ups_at_all_places():
+    from pagewright.llm import wavelet
+
+    x = np.random.default_rng(4).integers(0, 37, 70_003).astype(np.uint32)
+    m = wavelet.WaveletMatrix(wavelet.build(x, [1], [len(x)]))
+    for i in [*range(0, 70_003, 997), 65_535, 65_536, 65_537, 70_002]:
+        assert m.access(i) == x[i] and m.count(int(x[i]), i) == (x[:i] == x[i]).sum()
+    where = np.flatnonzero(x == 36)
+    assert [m.find(36, k) for k in range(0, len(where), 41)] == where[::41].tolist()

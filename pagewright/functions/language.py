@@ -194,8 +194,8 @@ COMMON_WORDS = {
 }
 
 
-def common_word_profiles(spark: SparkSession, word_weight: int = 1000) -> DataFrame:
-    """Profiles as train_profiles makes them, of COMMON_WORDS alone: a word of rank r counts word_weight / r times.
+def common_word_counts(word_weight: int = 1000) -> dict[str, Counter]:
+    """How often each trigram counts in each language, by COMMON_WORDS alone: a word of rank r counts word_weight / r times.
 
     Trigrams lie within a word and the blanks around it. Cyrillic, Greek, Arabic, Hebrew and Thai letters are told as one
     language each, by runs of their commonest letters. Chinese, Japanese and Korean aren't told.
@@ -211,6 +211,12 @@ def common_word_profiles(spark: SparkSession, word_weight: int = 1000) -> DataFr
             for b in own:
                 for gram in (f" {a}{b}", f"{a}{b} ", *(f"{a}{b}{c}" for c in own)):
                     counts[lang][gram] += 1
+    return counts
+
+
+def common_word_profiles(spark: SparkSession) -> DataFrame:
+    """Profiles as train_profiles makes them, of common_word_counts."""
+    counts = common_word_counts()
     grams = sorted({g for c in counts.values() for g in c})
     totals = {lang: sum(c.values()) + len(grams) for lang, c in counts.items()}
     rows = [((ord(g[0]) << 42) | (ord(g[1]) << 21) | ord(g[2]), [float(np.log((c[g] + 1) / totals[lang])) for lang, c in counts.items()]) for g in grams]

@@ -364,9 +364,12 @@ def _hints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CHARS = lambda rows, key: f"(SELECT {key}, c || lead(c, 1) OVER w || lead(c, 2) OVER w AS gram FROM (SELECT {key}, l[i] AS c, i, id FROM (SELECT {key}, id, l, unnest(generate_series(1, len(l))) AS i FROM (SELECT {key}, id, regexp_extract_all(t, '(?s).') AS l FROM {rows}))) WINDOW w AS (PARTITION BY id ORDER BY i))"
-_DETECTED = f"""WITH g AS (SELECT lang, gram, count(*) AS n FROM {_CHARS("(SELECT lang, doc_id AS id, lower(text) AS t FROM documents WHERE lang IS NOT NULL AND text IS NOT NULL)", "lang")} WHERE gram IS NOT NULL GROUP BY 1, 2),
-  v AS (SELECT gram FROM g GROUP BY gram ORDER BY sum(n) DESC, gram LIMIT 20000),
-  z AS (SELECT lang, sum(n) + 20000 AS total FROM g GROUP BY lang),
+
+
+def _detection(grams: str, vocabulary: str, size: str) -> str:
+    """Detection over documents by g(lang, gram, n), v(gram), its commonest, and their number for smoothing."""
+    return f"""WITH g AS ({grams}), v AS ({vocabulary}),
+  z AS (SELECT lang, sum(n) + {size} AS total FROM g GROUP BY lang),
   p AS (SELECT v.gram, z.lang, ln((coalesce(g.n, 0) + 1) / z.total::DOUBLE) AS logp FROM v CROSS JOIN z LEFT JOIN g ON g.gram = v.gram AND g.lang = z.lang),
   e AS (SELECT doc_id, doc_id AS id, CASE WHEN length(trim(text)) >= 100 THEN lower(trim({d.fold('text', _T8, 'g', ' ')})) END AS t FROM documents),
   s AS (SELECT x.doc_id, p.lang, sum(p.logp) / sqrt(count(*)) AS s FROM {_CHARS("e", "doc_id")} x JOIN p ON p.gram = x.gram GROUP BY 1, 2),
@@ -376,6 +379,13 @@ _DETECTED = f"""WITH g AS (SELECT lang, gram, count(*) AS n FROM {_CHARS("(SELEC
     CASE WHEN t IS NULL THEN 'insufficient_text' WHEN c.lang IS NULL THEN 'detection_failed' ELSE 'trigrams' END AS content_source FROM e LEFT JOIN c ON c.doc_id = e.doc_id"""
 
 
+_DETECTED = _detection(
+    f"""SELECT lang, gram, count(*) AS n FROM {_CHARS("(SELECT lang, doc_id AS id, lower(text) AS t FROM documents WHERE lang IS NOT NULL AND text IS NOT NULL)", "lang")} WHERE gram IS NOT NULL GROUP BY 1, 2""",
+    "SELECT gram FROM g GROUP BY gram ORDER BY sum(n) DESC, gram LIMIT 20000",
+    "20000",
+)
+
+
 @query("l4_content_detection", _DETECTED)
 def _detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents")
@@ -383,7 +393,10 @@ def _detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("content_confidence", F.round("content_confidence", 6))
 
 
-@query("l4_unlabelled_detection")
+_WORD_GRAMS = ", ".join(f"('{lang}', {d.q(gram)}, {n})" for lang, counts in language.common_word_counts().items() for gram, n in counts.items())
+
+
+@query("l4_unlabelled_detection", _detection(f"SELECT * FROM (VALUES {_WORD_GRAMS}) w(lang, gram, n)", "SELECT DISTINCT gram FROM g", "(SELECT count(*) FROM v)"))
 def _detect_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents")
     return language.detect(rows.select("doc_id", "text"), "doc_id", F.col("text"), language.common_word_profiles(spark)).withColumn("content_confidence", F.round("content_confidence", 6))

@@ -12,13 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.llm.common import in_slices, relieved, text_or_empty
-from pagewright.llm.tokens import encoder, vocabulary_path
+from pagewright.llm.tokens import KEPT, encoder, vocabulary_path
 
 WINDOW = 2048
 #: Open windows that a lane holds before they are closed by cutting; bounds its memory to this many windows of ids.
 MAX_OPEN = 4096
-#: Words that the encoder remembers here; a lane holds its windows as well.
-KEPT_WORDS = 300_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -115,18 +113,18 @@ class Packer:
                         self.emit(part)
 
 
-def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = 1, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", max_open: int = MAX_OPEN) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = 1, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", max_open: int = MAX_OPEN, kept_words: int = KEPT) -> DataFrame:
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (little-endian uint32).
 
     Each input partition is a lane of its own, packed as it streams by: nothing is shuffled, and a lane holds at most
-    max_open windows. A sequence_id is the lane's number times 2^32 plus a count. Null text is empty (its only id is the
+    max_open windows. The encoder remembers at most kept_words words between slices. A sequence_id is the lane's number times 2^32 plus a count. Null text is empty (its only id is the
     end id), null doc_ids stay null, repeated rows are packed as often as they occur; an empty table gives no rows.
     Columns other than id and text are ignored.
     """
     path = vocabulary or vocabulary_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, lane = encoder(path, KEPT_WORDS), TaskContext.get().partitionId() << 32
+        coder, lane = encoder(path, kept_words), TaskContext.get().partitionId() << 32
         rows, made = [], [0]
 
         def emit(pieces: list) -> None:

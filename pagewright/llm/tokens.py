@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 
@@ -72,6 +73,15 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids in one array of uint32, and where each text begins in it (one more entry than texts)."""
+        collects = gc.isenabled()
+        gc.disable()  # the many words of a slice are free of cycles
+        try:
+            return self._encode(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if not pc.any(pc.match_substring_regex(texts, self._NOT_LOWERED)).as_py():
             texts = pc.ascii_lower(texts)  # fewer distinct chunks; the vocabulary lowers anyway
         lists = pc.ascii_split_whitespace(texts)

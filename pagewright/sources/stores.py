@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,15 +53,15 @@ def read_bodies(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("content_hash"), "length")
 
 
-def analyse_bodies(bodies: DataFrame, id_col: str, as_of: Column) -> DataFrame:
-    """bodies(id, content_type, body, last_modified) as state: (id, content_hash, fuzzy_hash, last_updated, timestamp_source).
+def analyse_bodies(bodies: DataFrame, id_col: str, as_of: Column, keep: Sequence[str] = ()) -> DataFrame:
+    """bodies(id, content_type, body, last_modified) as state: (id, *keep, content_hash, fuzzy_hash, last_updated, timestamp_source).
 
-    Only bodies of text, JSON or XML have a fuzzy hash; the time is the header's, where it is a reasonable one.
+    A row for each body, in one narrow projection; `keep` names more of its columns that go along. Only bodies of text, JSON or XML have a fuzzy hash; the time is the header's, where it is a reasonable one.
     """
     readable = F.coalesce(F.lower("content_type").rlike("^(text/|application/json|application/xml)"), F.lit(False))
     fuzzy = F.when(readable, state.fuzzy_hash(F.decode("body", "UTF-8")))
     at = timestamps.normalize(F.col("last_modified"), as_of)
     return bodies.select(
-        id_col, F.sha2("body", 256).alias("content_hash"), fuzzy.alias("fuzzy_hash"), timestamps.utc_text(at).alias("last_updated"),
+        id_col, *keep, F.sha2("body", 256).alias("content_hash"), fuzzy.alias("fuzzy_hash"), timestamps.utc_text(at).alias("last_updated"),
         F.when(at.isNotNull(), "http_header").otherwise("none").alias("timestamp_source"),
     )

@@ -49,18 +49,21 @@ def bfs(starts: DataFrame, links: DataFrame, seen: DataFrame | None = None, dept
     return reached.filter(~F.col("outcome").eqNullSafe("failed")).select("site", "url", "depth", "rank")
 
 
-def match_sitemap(pages: DataFrame, sitemap: DataFrame) -> DataFrame:
+def match_sitemap(pages: DataFrame, sitemap: DataFrame, place: str | None = None) -> DataFrame:
     """(page_id, url, lastmod): a page's sitemap entry, matched exactly, without a trailing slash, or without www.
 
     The alternatives are three equality joins on derived keys rather than one join on their disjunction; the best match
-    is the exact one, then the first of the others by sitemap URL.
+    is the exact one, then the first of the others by sitemap URL. Of entries with equal URLs that of the least `place`
+    holds, a column of the sitemap; without one, that of the least lastmod. Only the first entry of a key is joined, so
+    a row of a page meets three entries at most, however often a URL occurs.
     """
     bare = lambda c: F.regexp_replace(c, "/+$", "")
     plain = lambda c: F.replace(c, F.lit("www."), F.lit(""))
+    entries = sitemap.select(F.struct(F.col("url").alias("entry"), F.col(place or "lastmod").alias("place"), "lastmod").alias("e"))
     found = None
     for rank, key in enumerate((lambda c: c, bare, plain)):
         left = pages.select("page_id", "url", key(F.col("url")).alias("k"))
-        right = sitemap.select(F.col("url").alias("entry"), "lastmod", key(F.col("url")).alias("k"))
-        part = left.join(right, "k").select("page_id", "url", "lastmod", "entry", F.lit(rank).alias("rank"))
+        right = entries.groupBy(key(F.col("e")["entry"]).alias("k")).agg(F.min("e").alias("e"))
+        part = left.join(right, "k").select("page_id", "url", F.struct(F.lit(rank).alias("rank"), "e").alias("best"))
         found = part if found is None else found.unionByName(part)
-    return found.groupBy("page_id", "url").agg(F.min_by("lastmod", F.struct("rank", "entry")).alias("lastmod"))
+    return found.groupBy("page_id", "url").agg(F.min("best").alias("best")).select("page_id", "url", F.col("best.e.lastmod").alias("lastmod"))

@@ -129,7 +129,8 @@ def json_string(text: Column) -> Column:
         return F.when((code >= 32) & (code < 127), c).when(code < 0x10000, unit(code)).otherwise(pair)
 
     odd = text.rlike(r"[^\x20-\x7e]")
-    return F.concat(F.lit('"'), F.when(odd, F.array_join(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), ascii_of), "")).otherwise(text), F.lit('"'))
+    parts = F.regexp_extract_all(text, F.lit(r"[\x20-\x7e]+|[^\x20-\x7e]"), F.lit(0))  # plain runs and other characters one by one
+    return F.concat(F.lit('"'), F.when(odd, F.array_join(F.transform(parts, ascii_of), "")).otherwise(text), F.lit('"'))
 
 
 def _json_object(pairs: list[tuple[str, Column]]) -> Column:
